@@ -356,17 +356,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     return narrow.mapInArrow(_mapped(compile_rules(rules), schema, row), ddl)
 
 
-def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents with every secret in ``text`` replaced by [KIND]; overlapping spans become one mark, that of
-    the first. Rows without a secret, null texts among them, stay as they are."""
+    the first. ``n_chars``, if there is such a column, follows where a text changed. Rows without a secret, null texts
+    among them, stay as they are."""
     automaton = compile_rules(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = automaton.table.tolist()
         for b in batches:
             k = b.schema.get_field_index(text_col)
-            texts = [_redacted(t, automaton, table) for t in b.column(k).cast(pa.binary()).to_pylist()]
-            yield b.set_column(k, b.schema.field(k), pa.array(texts, pa.binary()).cast(b.schema.field(k).type))
+            before = b.column(k).cast(pa.binary()).to_pylist()
+            after = [_redacted(t, automaton, table) for t in before]
+            b = b.set_column(k, b.schema.field(k), pa.array(after, pa.binary()).cast(b.schema.field(k).type))
+            if (n := b.schema.get_field_index(length_col)) >= 0:
+                lengths = [old if x == y else len(y.decode()) for old, x, y in zip(b.column(n).to_pylist(), before, after, strict=True)]
+                b = b.set_column(n, b.schema.field(n), pa.array(lengths, b.schema.field(n).type))
+            yield b
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -13,8 +13,8 @@
 5. Connected components of those edges, in distributed rounds, give every class its smallest doc_id.
 
 Nulls and odd rows: a null or wordless text has fingerprint zero and is linked like any other. Rows with a null
-doc_id are kept; they count only for a component without any other id (its component_id is null). Repeated rows are
-kept. Extra columns are ignored. An empty table gives no rows.
+doc_id are kept; they count only for a component without any other id (its component_id is null). Rows that
+share a doc_id are one document: their components are one. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,12 +26,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from graphloom.operators.components import connected_components
 from graphloom.scratch import materialise
 
 BITS = 64
-NO_ID = 2**63 - 1
+#: Classes without a doc_id are numbered from here on; doc_ids stay below.
+NO_ID = 1 << 62
 _HASHES_AT_ONCE = 1 << 16
 
 
@@ -254,14 +256,43 @@ def links(classes: DataFrame, budget: int = 4, bucket_rows: int = 16_384) -> Dat
     return in_order.mapInArrow(lambda it: _bucketed(it, budget, widths, 1 << 17), "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, budget: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document; see the module."""
+def assigned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, budget: int = 4) -> DataFrame:
+    """(doc_id, fp, component) of every row; a component's number is its smallest doc_id, or NO_ID or more if it has none."""
     prints = materialise(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    classes = materialise(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("rep")), "classes")
+    unnamed = F.pmod(F.xxhash64("fp"), F.lit(NO_ID)) + F.lit(NO_ID)
+    classes = materialise(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), unnamed).alias("rep")), "classes")
     found = connected_components(links(classes, budget))
-    named = classes.join(found, classes["rep"] == found["node"], "left").select(
-        "fp", F.nullif(F.coalesce("component", "rep"), F.lit(NO_ID)).alias("component_id")
-    )
-    return prints.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    named = classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    return prints.join(named, "fp").select("doc_id", "fp", "component")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, budget: int = 4) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document; see the module."""
+    return assigned(docs, id_col, text_col, shingle_words, budget).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, budget: int = 4) -> DataFrame:
+    """The documents, all columns, one of each component: that of the smallest doc_id.
+
+    Rows are told apart by their id. Those whose id is null or repeated, few in a sound table, are told apart by their
+    fingerprint as well, so that exactly one row stays."""
+    rows = materialise(assigned(docs, id_col, text_col, shingle_words, budget), "components")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp")
+    winner = rows.groupBy("component").agg(F.min(order).alias("first")).select("first.doc_id", "first.fp")
+    unclear = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id")
+    key = F.col(id_col).cast("long")
+    sound = docs.where(key.isNotNull()).join(unclear.select(F.col("doc_id").alias("__u")), key == F.col("__u"), "left_anti")
+    sound = sound.join(winner.select(F.col("doc_id").alias("__w")), key == F.col("__w"), "left_semi")
+    odd = docs.join(unclear.select(F.col("doc_id").alias("__u")), key.eqNullSafe(F.col("__u")), "left_semi")
+    k = docs.columns.index(text_col)
+
+    def fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.fromiter((fingerprint(t, shingle_words) for t in b.column(k).cast(pa.binary()).to_pylist()), np.uint64, b.num_rows)
+            yield b.append_column("__fp", pa.array(fp.view(np.int64)))
+
+    odd = odd.mapInArrow(fingerprinted, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
+    chosen = odd.join(winner.select(F.col("doc_id").alias("__w"), F.col("fp").alias("__wfp")), key.eqNullSafe(F.col("__w")) & (F.col("__fp") == F.col("__wfp")), "left_semi")
+    return sound.unionByName(chosen.dropDuplicates([id_col, "__fp"]).drop("__fp"))
