@@ -9,9 +9,10 @@ chunk and cut documents without reading others.
 
 Writing: one shuffle deals the documents to ranges of doc_id (``rows_per_file`` rows a file); each task sorts its
 range on disk if need be, encodes it in bounded slices and streams the file. Where a file's ids start among all ids
-follows from the files' totals, a short list. Texts are split at single spaces that precede a word: those are always
-token boundaries of a byte-level BPE with the usual pattern, so each distinct word is encoded once per worker by the
-library and its ids are reused. Texts with runs of white space are encoded whole.
+follows from the files' totals, a short list. Texts are split at single spaces and line breaks that precede a
+word: those are always token boundaries of a byte-level BPE with the usual pattern, so each distinct word is encoded
+once per worker by the library and its ids are reused. Texts with runs of white space, or with any at an end, are
+encoded whole.
 
 Nulls and odd rows: a null text is empty and holds the end id alone. Rows with a null doc_id come first. Repeated
 doc_ids are kept, ordered by text. Extra columns are ignored. An empty table gives no rows.
@@ -45,34 +46,57 @@ _RUN_OF_SPACE = re.compile(r"\s\s")
 
 
 class WordCache:
-    """Encodes texts with a byte-level BPE, each distinct word once."""
+    """Encodes texts with a byte-level BPE, each distinct word once.
+
+    A word's key is the word itself if a space precedes it, a line break and the word if a line break does, and two and the
+    word if it begins a text.
+    """
 
     def __init__(self, path: str, end_id: int, limit: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], "<u4").tobytes()
+        (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.limit = limit
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words, from one call: joined by line breaks, which stay tokens of their own."""
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(ids == self.line)
+        if len(cuts) != len(words) - 1:
+            return self._encode(words)
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
+
+    def _learn(self, new: set[str]) -> None:
+        line = np.array([self.line], "<u4").tobytes()
+        plain = [w for w in new if "<|" not in w]
+        bare = [w.startswith("\n") for w in plain]
+        coded = self._encode_words([w.lstrip("\n") if b else f" {w}" for w, b in zip(plain, bare, strict=True)])
+        for w, b, ids in zip(plain, bare, coded, strict=True):
+            self.known[w] = line + ids if b and w[1:2] != "\n" else ids
+        odd = [w for w in new if "<|" in w]
+        self.known.update(zip(odd, self._encode([w[2:] if w.startswith("\n\n") else w if w[0] == "\n" else f" {w}" for w in odd]), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, the end id last, as little-endian uint32."""
-        # a leading space is part of each word but the first, whose key is marked with a line break
         words: list[list[str] | None] = []
         for t in texts:
-            if not t or _RUN_OF_SPACE.search(t):
+            if not t or t[0].isspace() or t[-1].isspace() or _RUN_OF_SPACE.search(t):
                 words.append(None)
             else:
-                w = t.split(" ")
-                w[0] = f"\n{w[0]}"
+                w = t.replace("\n", " \n").split(" ")
+                w[0] = f"\n\n{w[0]}"
                 words.append(w)
         if len(self.known) > self.limit:
             self.known.clear()
-        new = list(set().union(*(w for w in words if w)).difference(self.known))
-        firsts = {w[0] for w in words if w}
-        self.known.update(zip(new, self._encode([w[1:] if w in firsts else f" {w}" for w in new]), strict=True))
+        self._learn(set().union(*(w for w in words if w)).difference(self.known))
         whole = iter(self._encode([t or "" for t, w in zip(texts, words, strict=True) if w is None]))
         get = self.known.__getitem__
         return [(next(whole) if w is None else b"".join(map(get, w))) + self.end for w in words]
