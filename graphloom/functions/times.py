@@ -122,5 +122,8 @@ def document_date(text: Column) -> Column:
         day = part(x, "^(\\d{1,2})") if shape == "dMy" else part(x, "\\s(\\d{1,2}),?\\s")
         return F.try_to_timestamp(F.concat_ws(" ", day, month(x), year(x)), F.lit("d MMM yyyy"))
 
-    found = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda x, s=s: dated(s, x)) for s, p in DOCUMENT_DATES.items()]
+    def all_of(shape: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: dated(shape, x))
+
+    found = [all_of(shape, pattern) for shape, pattern in DOCUMENT_DATES.items()]
     return F.array_min(F.filter(F.concat(*found), lambda t: t.isNotNull()))

@@ -36,8 +36,10 @@ def calls_per_minute(stream: DataFrame, key: str, time: str = "ts", late: str =
 
 
 def live_sessions(touches: DataFrame, key: str, time: str = "ts", idle: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """R04 as a stream or batch: sessions that end after ``idle`` without a touch."""
-    return touches.withWatermark(time, late).groupBy(F.session_window(time, idle).alias("s"), key).agg(F.count("*").alias("touches")).select(key, F.col("s.start").alias("start"), F.col("s.end").alias("expires"), "touches")
+    """R04 as a stream or batch: sessions that end after ``idle`` without a touch. Start and end are aggregates rather than
+    fields of the window: a filter on the window's own end would be pushed below the merging of sessions and split them."""
+    sessions = touches.withWatermark(time, late).groupBy(F.session_window(time, idle).alias("s"), key)
+    return sessions.agg(F.min(time).alias("start"), (F.max(time) + F.expr(f"interval {idle}")).alias("expires"), F.count("*").alias("touches")).drop("s")
 
 
 def kept_sessions(sessions: DataFrame, now: str, most: int = 10) -> DataFrame:
