@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.operators.components import connected_components
-from graphloom.schema import FORMS_LIMIT, MENTION_TYPES, PROFILES
+from graphloom.operators.order import ranked
+from graphloom.schema import FORMS_LIMIT, MENTION_TYPES
 
 MOST = 12
 _LIST = "array<string>"
@@ -19,20 +20,10 @@ def _listed(c: str):
 
 def conversation_profiles(mentions: DataFrame) -> DataFrame:
     """(conversation_id, local_entity, profile_id): numbered in order of conversation and local name; the type is
-    that of the first mention. Numbers come from range partitions and their sizes, not from one global sort task."""
+    that of the first mention."""
     first = mentions.groupBy("conversation_id", "local_entity").agg(F.min_by("type", "pos").alias("type"))
     known = F.when(F.lower("type").isin(*MENTION_TYPES), F.lower("type")).otherwise("unknown")
-    return numbered(first, ["conversation_id", "local_entity"]).select("conversation_id", "local_entity", F.concat(known, F.lit(":"), "n").alias("profile_id"), F.col("n").alias("pos"))
-
-
-def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Rows with their place ``n`` from 0 in a total order: sizes of hashed leading keys are summed up first, so that
-    ranks are counted within a key and no task sees all rows. The leading key's distinct values are the narrow part."""
-    lead = order[0]
-    sizes = rows.groupBy(lead).agg(F.count("*").alias("size"))
-    before = sizes.select(lead, (F.sum("size").over(Window.orderBy(lead)) - F.col("size")).alias("before"))
-    within = F.row_number().over(Window.partitionBy(lead).orderBy(*order)) - 1
-    return rows.withColumn("within", within).join(before, lead).withColumn("n", F.col("before") + F.col("within")).drop("within", "before")
+    return ranked(first, ["conversation_id", "local_entity"]).select("conversation_id", "local_entity", F.concat(known, F.lit(":"), F.col("n").cast("string")).alias("profile_id"), F.col("n").alias("pos"))
 
 
 def from_mentions(mentions: DataFrame, items: DataFrame) -> DataFrame:
@@ -62,13 +53,7 @@ def from_mentions(mentions: DataFrame, items: DataFrame) -> DataFrame:
         F.col("profile_id").alias("id"), F.col("pos").cast("long").alias("pos"), F.when(F.col("t").isin(*MENTION_TYPES), F.col("t")).otherwise("unknown").alias("type"), F.col("surfaces").cast("map<string,bigint>").alias("surfaces"),
         F.coalesce("identifiers", none).alias("identifiers"), F.coalesce("clues", F.create_map().cast("map<string,array<string>>")).alias("clues"), F.coalesce("channels", none).alias("channels"),
         "item_ids", F.coalesce("sample_lines", none).alias("sample_lines"), F.coalesce("co_profile_ids", none).alias("co_profile_ids"),
-    ).to(_schema())
-
-
-def _schema():
-    from pyspark.sql.types import _parse_datatype_string
-
-    return _parse_datatype_string(PROFILES)
+    )
 
 
 def from_clusters(clusters: DataFrame) -> DataFrame:

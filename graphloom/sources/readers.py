@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.functions import times
+from graphloom.operators.order import ranked
 from graphloom.schema import INGEST_FILES, ITEMS, PARTICIPANT
 from graphloom.scratch import materialise
 from graphloom.sources import formats
@@ -37,11 +38,8 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _finished(items: DataFrame) -> DataFrame:
-    """pos and content_hash; the order is by file name and place in it, counted file by file."""
-    order = Window.partitionBy("name").orderBy("k")
-    per_file = items.groupBy("name").agg(F.count("*").alias("n"))
-    before = per_file.select("name", (F.sum("n").over(Window.orderBy("name")) - F.col("n")).alias("before"))
-    placed = items.withColumn("__n", F.row_number().over(order) - 1).join(before, "name").withColumn("pos", F.col("before") + F.col("__n"))
+    """pos and content_hash; the order is by file name and place in it."""
+    placed = ranked(items, ["name", "k"], "pos")
     hashed = placed.withColumn("content_hash", T.content_hash(T.sender_display(), F.col("subject"), F.col("body"))).withColumn("duplicate_of", F.lit(None).cast("string"))
     names = [c.split()[0] for c in ITEMS.replace("struct<batch_file: string, item_index: int, section: string>", "s").replace(PARTICIPANT, "p").split(", ")]
     return hashed.select(*names)
