@@ -110,4 +110,6 @@ def copy_counts(items: DataFrame, near: DataFrame, canon: DataFrame) -> DataFram
     """Redundant copies: exact, near (an exact copy of a longer text counts in both), and marked items."""
     exact = items.groupBy("content_hash").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("exact_dupes"))
     close = near.agg(F.count_if(F.col("id") != F.col("canonical_id")).alias("near_dupes"))
-    return exact.crossJoin(close).crossJoin(canon.agg(F.count("*").alias("n_duplicates")))
+    marked = canon.agg(F.count("*").alias("n_duplicates"))
+    row = F.lit(1).alias("one")  # each side is a single row
+    return exact.select("*", row).join(close.select("*", row), "one").join(marked.select("*", row), "one").drop("one")
