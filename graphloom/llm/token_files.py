@@ -23,6 +23,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import struct
 import uuid
 import zlib
@@ -43,6 +44,8 @@ MAGIC = b"GLTOK001"
 CHUNK_IDS = 1 << 16
 _SLICE_CHARS = 2_000_000
 _RUN_OF_SPACE = re.compile(r"\s\s")
+#: Without the apostrophe, which can begin a token with letters.
+_PUNCTUATION = "".join(sorted(set(string.punctuation) - {"'"}))
 
 
 class WordCache:
@@ -52,13 +55,14 @@ class WordCache:
     word if it begins a text.
     """
 
-    def __init__(self, path: str, end_id: int, limit: int = 400_000) -> None:
+    def __init__(self, path: str, end_id: int, limit: int = 600_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], "<u4").tobytes()
         (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.limit = limit
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -75,14 +79,22 @@ class WordCache:
         return [data[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
 
     def _learn(self, new: set[str]) -> None:
+        """Add words; one that ends in punctuation behind a letter is learnt as two tokens' worth, so that a word is
+        encoded once whatever follows it."""
+        cut = {w: core for w in new if (core := w.rstrip(_PUNCTUATION)) is not w and core[-1:].isalpha() and "<|" not in w}
+        whole = {w for w in new if w not in cut} | {c for c in cut.values() if c not in self.known}
+        tails = sorted({w[len(c) :] for w, c in cut.items()} - self.tails.keys())
+        self.tails.update(zip(tails, self._encode(tails), strict=True))
         line = np.array([self.line], "<u4").tobytes()
-        plain = [w for w in new if "<|" not in w]
+        plain = [w for w in whole if "<|" not in w]
         bare = [w.startswith("\n") for w in plain]
         coded = self._encode_words([w.lstrip("\n") if b else f" {w}" for w, b in zip(plain, bare, strict=True)])
         for w, b, ids in zip(plain, bare, coded, strict=True):
             self.known[w] = line + ids if b and w[1:2] != "\n" else ids
-        odd = [w for w in new if "<|" in w]
+        odd = [w for w in whole if "<|" in w]
         self.known.update(zip(odd, self._encode([w[2:] if w.startswith("\n\n") else w if w[0] == "\n" else f" {w}" for w in odd]), strict=True))
+        for w, c in cut.items():
+            self.known[w] = self.known[c] + self.tails[w[len(c) :]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, the end id last, as little-endian uint32."""
@@ -96,6 +108,7 @@ class WordCache:
                 words.append(w)
         if len(self.known) > self.limit:
             self.known.clear()
+            self.tails.clear()
         self._learn(set().union(*(w for w in words if w)).difference(self.known))
         whole = iter(self._encode([t or "" for t, w in zip(texts, words, strict=True) if w is None]))
         get = self.known.__getitem__

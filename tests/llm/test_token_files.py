@@ -19,7 +19,7 @@ def plain(text):
 
 
 @settings(max_examples=800, deadline=None)
-@given(st.lists(st.sampled_from(["a", "The", " ", "  ", "\n", "\t", "don't", "é", "12", "...", "日本", " ", "<|endoftext|>", "'s", "x_y", " ", "\r\n"]), max_size=9))
+@given(st.lists(st.sampled_from(["a", "The", " ", "  ", "\n", "\t", "don't", "é", "12", "...", "日本", " ", "<|endoftext|>", "'s", "x_y", "dog.", "so,,", "$", "(a)", "_.", "5.", "²!", "'", " ", "\r\n"]), max_size=9))
 def test_words_encode_like_whole_texts(parts):
     text = "".join(parts)
     assert np.frombuffer(WORDS.encode([text, "pad it"])[0], "<u4").tolist() == plain(text)
