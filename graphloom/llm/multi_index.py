@@ -121,7 +121,7 @@ def search(
     k: int = 10,
     centroids: int = 64,
     train_rows: int = 16_384,
-    scan_share: float = 0.45,
+    scan_share: float = 0.5,
     least: int = 1000,
     block_rows: int = 8192,
     block_queries: int = 2048,
