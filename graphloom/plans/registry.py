@@ -545,6 +545,63 @@ def contract_repair(spark: SparkSession, sf: str) -> DataFrame:
     return contract.repair(_broken(spark, sf))[0].edges.select("id", "source", "target")
 
 
+def _whole(spark: SparkSession, sf: str) -> contract.Graph:
+    """A graph with faults that leaves out no row: every customer is an entity (some blank, some twice), every order an item, a mention
+    and an edge to a customer near its own, past the last one at the end; some customers are never mentioned, and order priorities say which sources, mentioned items and evidence items do not exist."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    base = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_custkey").alias("pos"), F.when(F.col("c_custkey") % 10 != 0, F.col("c_name")).otherwise("").alias("label"))
+    people = entities.shaped(base.unionAll(base.where("pos % 100 = 0").withColumn("pos", -1 - F.col("pos"))), "person")
+    o = o.join(F.broadcast(c.agg(F.max("c_custkey").alias("last"))), F.lit(True)).select(
+        F.col("o_orderkey").alias("pos"), F.col("o_orderkey").cast("string").alias("item"), F.col("o_custkey").cast("string").alias("by"), F.substring("o_orderpriority", 1, 1).alias("fault"),
+        ((F.col("o_custkey") + F.col("o_orderkey") % 5) % (F.col("last") + 2)).cast("string").alias("to"),
+    )
+    unless = lambda fault, good, bad: F.concat(F.when(F.col("fault") == fault, bad).otherwise(good), F.col("by" if good == "c" else "item"))
+    told = o.select(F.concat(F.when(F.col("by") % 50 == 7, "x").otherwise("c"), "by").alias("entity_id"), unless("2", "", "x").alias("item_id"), F.lit("").alias("text"), "pos")
+    edges = o.select(
+        F.concat(F.lit("e"), "item").alias("id"), unless("5", "c", "x").alias("source"), F.concat(F.lit("c"), "to").alias("target"),
+        F.when(F.col("fault") == "1", "unheard_of").otherwise("paid").alias("kind"), F.lit(1.0).alias("weight"), F.array(unless("3", "", "x")).alias("evidence_item_ids"),
+    )
+    merges = edges.select(F.col("source").alias("canonical_id"), F.array(F.lit("x")).alias("merged_forms"), F.lit("").alias("rationale")).distinct()
+    return contract.Graph(o.select(F.col("item").alias("id")), people, told, edges, merges)
+
+
+WHOLE = """
+b AS (SELECT 'c' || c_custkey AS id, c_custkey AS pos, CASE WHEN c_custkey % 10 <> 0 THEN c_name ELSE '' END AS label FROM customer),
+en AS (SELECT * FROM b UNION ALL SELECT * FROM b WHERE pos % 100 = 0),
+me AS (SELECT CASE WHEN o_custkey % 50 = 7 THEN 'x' ELSE 'c' END || o_custkey AS id, o_orderpriority NOT LIKE '2%' AS known FROM orders),
+ed AS (SELECT 'e' || o_orderkey AS id, CASE WHEN o_orderpriority LIKE '5%' THEN 'x' ELSE 'c' END || o_custkey AS source, 'c' || ((o_custkey + o_orderkey % 5) % ((SELECT max(c_custkey) FROM customer) + 2)) AS target,
+       CASE WHEN o_orderpriority LIKE '1%' THEN 'unheard_of' ELSE 'paid' END AS kind, o_orderpriority NOT LIKE '3%' AS known FROM orders)"""
+
+
+@query(
+    f"""WITH {WHOLE}
+SELECT 'R1_duplicate_id' AS rule, id FROM b WHERE pos % 100 = 0
+UNION ALL SELECT 'R3_empty_label', id FROM en WHERE label = ''
+UNION ALL SELECT 'R4_no_mentions', id FROM en WHERE id NOT IN (SELECT id FROM me)
+UNION ALL SELECT DISTINCT 'R4_unknown_mention_item', id FROM b WHERE id IN (SELECT id FROM me WHERE NOT known)
+UNION ALL SELECT 'R6_dangling_source', id FROM ed WHERE source NOT IN (SELECT id FROM b)
+UNION ALL SELECT 'R6_dangling_target', id FROM ed WHERE target NOT IN (SELECT id FROM b)
+UNION ALL SELECT 'R6_self_loop', id FROM ed WHERE source = target
+UNION ALL SELECT 'R7_invalid_kind', id FROM ed WHERE kind = 'unheard_of'
+UNION ALL SELECT 'R8_unknown_evidence', id FROM ed WHERE NOT known
+UNION ALL SELECT 'R9_duplicate_edge', id FROM (SELECT id, row_number() OVER (PARTITION BY source, target, kind ORDER BY id) AS n FROM ed) WHERE n > 1
+UNION ALL SELECT 'R10_merge_bad_id', id FROM (SELECT DISTINCT source AS id FROM ed) WHERE id NOT IN (SELECT id FROM b)"""
+)
+def contract_violations_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """E23, J18-J20 over all customers and orders."""
+    return contract.violations(_whole(spark, sf)).select("rule", "id")
+
+
+@query(
+    f"""WITH {WHOLE}, ok AS (SELECT id FROM b WHERE id IN (SELECT id FROM me WHERE known)),
+k AS (SELECT * FROM ed WHERE source IN (SELECT id FROM ok) AND target IN (SELECT id FROM ok) AND source <> target AND kind = 'paid' AND known)
+SELECT id, source, target FROM (SELECT *, row_number() OVER (PARTITION BY source, target, kind ORDER BY id) AS n FROM k) WHERE n = 1"""
+)
+def contract_repair_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """E24 over all customers and orders."""
+    return contract.repair(_whole(spark, sf))[0].edges.select("id", "source", "target")
+
+
 ASKED = "steel copper green small order brass"
 TOKENS = f"t AS (SELECT 'p' || p_partkey AS id, p_partkey AS pos, unnest(list_distinct(list_filter(string_split({KEY}, ' '), lambda x: length(x) > 1))) AS token FROM part)"
 

@@ -8,6 +8,7 @@ from graphloom.functions import text as T
 from graphloom.functions import times
 from graphloom.operators import chunks, contract, dedup, entities, extraction, graph, identity, merge, profiles, relations
 from graphloom.operators.components import connected_components
+from graphloom.plans import registry
 from graphloom.schema import CHUNKS
 from graphloom.sources import formats, readers
 from graphloom.streaming import limits
@@ -140,6 +141,18 @@ def test_stable_ids_and_currency_decisions(spark):
     assert mixed.currency_ambiguous and mixed.label == "20.00 ⚠ mixed-currency"
 
 
+def test_whole_contract_leaves_out_no_row(spark):
+    sf = "/root/testdata/sf0.01"
+    g = registry._whole(spark, sf)
+    customers, orders = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("customer", "orders"))
+    assert g.entities.select("id").distinct().count() == customers.count()
+    assert g.items.count() == g.mentions.count() == g.edges.count() == orders.count()
+    found = registry.queries()["contract_violations_whole"](spark, sf)
+    sources = found.where("rule = 'R6_dangling_source'").count()
+    assert sources == orders.where("o_orderpriority like '5%'").count()
+    assert found.select("rule").distinct().count() == 11
+
+
 def test_contract_rules_and_repair(spark):
     found = people(spark, [person("p1", "A", owner=True), person("p1", "A"), person("p2", "", owner=True), person("p3", "x" * 130), person("p4", "D")])
     told = found.mentions.where("entity_id <> 'p4'").unionByName(spark.createDataFrame([("p3", "gone", "t", 9)], "entity_id string, item_id string, text string, pos long"))
