@@ -3,9 +3,12 @@
 A text gets the dummy space in front and is cut into chunks, runs of spaces or a line break with what follows; no
 piece of the model spans two chunks, so chunks are segmented alone. In a chunk the agenda holds the adjacent pairs that
 form a piece; the best score, leftmost on ties, is merged first. A candidate is skipped for good if the keyed hash of
-(seed, variant, chunk, start, middle, end) falls below ``dropout``. The variant of a chunk follows from the document's
-id and the chunk's place, one of ``variants``, so a word is segmented in several ways across a corpus, the same way
-on every run, and yet can be remembered by each worker. With dropout 0 the ids are those of the library.
+(seed, document, place of the chunk in it, start, middle, end) falls below ``dropout``, so every occurrence of a word
+has a segmentation of its own, the same on every run. With dropout 0 the ids are those of the library.
+
+A worker remembers what does not depend on the hash, as a tree for each word it meets often: a node holds the ids if
+none of its candidates is skipped, and a branch for each candidate that may be the first one skipped. Occurrences walk
+the trees together in numpy; one that finds no branch is merged by itself. Both ways give the same ids.
 
 Many new chunks are merged together in numpy, a round of the agenda for all of them at a time; a chunk of over
 ``_LONG`` code points has a heap of its own, so very long words take n log n steps.
@@ -13,17 +16,19 @@ Many new chunks are merged together in numpy, a round of the agenda for all of t
 Decoding joins the pieces' bytes and takes the dummy space off. It gives back every text exactly: code points without
 a piece are spelled in bytes, and so is a literal U+2581, which the library would turn into a space.
 
-Nulls and odd rows: a null text is encoded as an empty one, to no ids. A null doc_id counts as 0 in the variant.
-Repeated rows are encoded each, alike. Extra columns are ignored; an empty table gives no rows.
+Nulls and odd rows: a null text is encoded as an empty one, to no ids. A null doc_id counts as 0 in the hash.
+A document's id and text are hashed, so repeated rows are encoded each, alike. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +42,40 @@ from graphloom.llm.hashed_text import slices
 CHUNK = re.compile(r" +[^ \n]*|\n[^ \n]*|[^ \n]+")
 SPACE = "▁"
 _LONG = 48
+_TREE = 24
+_VISITS = 8
 _NONE = np.int64(1) << 62
 
 
+_M1, _M2, _M3, _ALL = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, (1 << 64) - 1
+
+
 def dropped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, dropout: float) -> np.ndarray:
     """Whether the candidate merges are skipped, by a hash of the chunk's key and the places in it."""
+    return _dropped(key, start.astype(np.uint64) << np.uint64(42) | middle.astype(np.uint64) << np.uint64(21) | end.astype(np.uint64), dropout)
+
+
+def _dropped(key: np.ndarray, place: np.ndarray, dropout: float) -> np.ndarray:
     if dropout <= 0:
         return np.zeros(len(key), bool)
-    place = start.astype(np.uint64) << np.uint64(42) | middle.astype(np.uint64) << np.uint64(21) | end.astype(np.uint64)
-    h = (key ^ place * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = place * np.uint64(_M1)
+    h ^= key
+    h *= np.uint64(_M2)
     h ^= h >> np.uint64(31)
-    h *= np.uint64(0x94D049BB133111EB)
-    return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53 < dropout
+    h *= np.uint64(_M3)
+    h >>= np.uint64(11)
+    return h < np.uint64(math.ceil(dropout * 2.0**53))
+
+
+def _drops(key: int, dropout: float) -> Callable[[int], bool]:
+    """``_dropped`` for one key, a place at a time."""
+    below = math.ceil(dropout * 2.0**53)
+
+    def drop(place: int) -> bool:
+        h = (key ^ place * _M1 & _ALL) * _M2 & _ALL
+        return ((h ^ h >> 31) * _M3 & _ALL) >> 11 < below
+
+    return drop
 
 
 class Model:
@@ -72,6 +99,8 @@ class Model:
             raise ValueError("a piece of this model spans chunks")
         self.letters = {(" " if p == SPACE else p): k for p, k in whole.items() if len(p) == 1}
         self.letters |= {chr(c): int(self.byte_ids[c]) for c in range(128) if chr(c) not in self.letters}
+        self.of_point = -1 - np.arange(0x110000)
+        self.of_point[[ord(c) for c in self.letters]] = list(self.letters.values())
         # lower rank merges first
         order = sorted(whole.values(), key=lambda k: (-sp.get_score(k), k))
         scores = {k: sp.get_score(k) for k in order}
@@ -128,16 +157,20 @@ class Model:
 
     def by_heap(self, chunk: str, key: int, dropout: float) -> np.ndarray:
         """One chunk's ids, with an agenda of its own."""
+        return self.merge(chunk, _drops(key, dropout))
+
+    def merge(self, chunk: str, drop: Callable[[int], bool]) -> np.ndarray:
+        """One chunk's ids; ``drop`` is asked of every candidate, by its place, once."""
         ids = self.symbols(chunk)
         n = len(ids)
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         agenda: list[tuple[int, int, int, int, int]] = []
-        keys = np.array([key], np.uint64)
+        merged, rank = self.merged, self.rank
 
         def offer(i: int) -> None:
             j = after[i] if i >= 0 else n
-            if j < n and (to := self.merged.get((ids[i], ids[j]))) is not None and not dropped(keys, np.array([i]), np.array([j]), np.array([end[j]]), dropout)[0]:
-                heapq.heappush(agenda, (int(self.rank[to]), i, j, end[j], to))
+            if j < n and (to := merged.get((ids[i], ids[j]))) is not None and not drop(i << 42 | j << 21 | end[j]):
+                heapq.heappush(agenda, (int(rank[to]), i, j, end[j], to))
 
         for i in range(n - 1):
             offer(i)
@@ -171,8 +204,7 @@ class Model:
 
     def _together(self, chunks: list[str], keys: np.ndarray, dropout: float) -> list[bytes]:
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        get = self.letters.get
-        symbol = np.fromiter((get(c, -1 - ord(c)) for chunk in chunks for c in chunk), np.int64, int(sizes.sum()))
+        symbol = self.of_point[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4")]
         owner = np.repeat(np.arange(len(chunks)), sizes)
         start = np.arange(len(symbol)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         end = start + 1
@@ -215,53 +247,118 @@ class Model:
 
 @dataclass
 class Encoder:
-    """Encodes documents; remembers the chunks of each variant."""
+    """Encodes documents; remembers the trees of at most about ``limit`` nodes."""
 
     model: Model
     seed: int
     dropout: float
-    variants: int
-    limit: int = 150_000
+    limit: int = 250_000
 
     def __post_init__(self) -> None:
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self._forget()
+
+    def _forget(self) -> None:
+        # node 0 stands for none
+        self.roots: dict[str, int] = {}
+        self.seen: dict[str, int] = {}
+        self.ids: list[bytes] = [b""]
+        self.from_: list[tuple[str, tuple[int, ...], int]] = [("", (), 0)]
+        self.first, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        # of every candidate: its place, and the node if it is skipped; 0 and less are visits without one
+        self.place, self.child, self.used = np.zeros(8192, np.uint64), np.zeros(8192, np.int64), 0
+
+    def _add(self, chunk: str, skipped: tuple[int, ...], base: int) -> int:
+        """A node: of the chunk's candidates the first ``base`` are decided, those in ``skipped`` against."""
+        places: list[int] = []
+
+        def drop(place: int) -> bool:
+            places.append(place)
+            return place in skipped
+
+        ids = self.model.merge(chunk, drop)
+        node, own = len(self.ids), places[base:]
+        if node == len(self.first):
+            self.first, self.size = np.resize(self.first, 2 * node), np.resize(self.size, 2 * node)
+        while self.used + len(own) > len(self.place):
+            n = len(self.place)
+            self.place, self.child = np.resize(self.place, 2 * n), np.concatenate([self.child, np.zeros(n, np.int64)])
+        self.first[node], self.size[node] = self.used, len(own)
+        self.place[self.used : self.used + len(own)] = own
+        self.used += len(own)
+        self.ids.append(ids.astype("<u4").tobytes())
+        self.from_.append((chunk, skipped, base))
+        return node
+
+    def _walk(self, node: np.ndarray, keys: np.ndarray, at: np.ndarray) -> None:
+        """Moves the occurrences ``at`` to the nodes whose ids they have, or to 0."""
+        while len(at):
+            first, size = self.first[node[at]], self.size[node[at]]
+            edge = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+            hit = np.flatnonzero(_dropped(np.repeat(keys[at], size), self.place[edge], self.dropout))
+            owner = np.searchsorted(np.cumsum(size), hit, side="right")
+            fresh = np.ones(len(hit), bool)
+            fresh[1:] = owner[1:] != owner[:-1]
+            edge, at = edge[hit[fresh]], at[owner[fresh]]
+            to = self.child[edge]
+            for k in np.flatnonzero(to <= 0).tolist():
+                e = edge[k]
+                if -_VISITS + 1 < self.child[e] <= 0:
+                    self.child[e] -= 1
+                elif self.child[e] < 0:
+                    up = int(node[at[k]])
+                    chunk, skipped, base = self.from_[up]
+                    self.child[e] = self._add(chunk, (*skipped, int(self.place[e])), base + int(e - self.first[up]) + 1)
+                to[k] = max(self.child[e], 0)
+            node[at] = to
+            at = at[to > 0]
 
     def encode(self, doc_ids: list[int | None], texts: list[str | None]) -> list[bytes]:
         """The ids of each document, as little-endian uint32."""
-        n = self.variants
+        if len(self.ids) > self.limit:
+            self._forget()
+        if len(self.seen) > self.limit:
+            self.seen.clear()
         chunked = [CHUNK.findall(f" {t}") if t else [] for t in texts]
-        # chunk k of a document has variant (first + k) % n
-        firsts = [xxhash.xxh64_intdigest(f"{self.seed}:{i or 0}") % n for i in doc_ids]
-        for v in range(n):
-            if len(self.known[v]) > self.limit:
-                self.known[v].clear()
-        new = [set().union(*(c[(v - f) % n :: n] for c, f in zip(chunked, firsts, strict=True))).difference(self.known[v]) for v in range(n)]
-        asked = [(v, c) for v in range(n) for c in new[v]]
-        keys = np.fromiter((xxhash.xxh64_intdigest(c, self.seed * 1_000_003 + v) for v, c in asked), np.uint64, len(asked))
-        for (v, c), ids in zip(asked, self.model.segment([c for _, c in asked], keys, self.dropout), strict=True):
-            self.known[v][c] = ids
-        out = []
-        for chunks, f in zip(chunked, firsts, strict=True):
-            parts: list[bytes] = [b""] * len(chunks)
-            for v in range(n):
-                at = (v - f) % n
-                parts[at::n] = map(self.known[v].__getitem__, chunks[at::n])
-            out.append(b"".join(parts))
-        return out
+        sizes = np.fromiter(map(len, chunked), np.int64, len(chunked))
+        stops = np.cumsum(sizes)
+        flat = [c for chunks in chunked for c in chunks]
+        docs = np.fromiter((xxhash.xxh64_intdigest(t or "", xxhash.xxh64_intdigest(f"{self.seed}:{i or 0}")) for i, t in zip(doc_ids, texts, strict=True)), np.uint64, len(texts))
+        # the key of chunk k of a document
+        keys = (np.arange(len(flat)) - np.repeat(stops - sizes, sizes) + 1).astype(np.uint64) * np.uint64(_M1) + np.repeat(docs, sizes)
+        keys = (keys ^ keys >> np.uint64(30)) * np.uint64(_M2)
+        keys = (keys ^ keys >> np.uint64(27)) * np.uint64(_M3)
+        keys ^= keys >> np.uint64(31)
+        node = np.fromiter(map(self.roots.get, flat, repeat(0)), np.int64, len(flat))
+        for k in np.flatnonzero(node == 0).tolist():
+            c = flat[k]
+            if c in self.roots:
+                node[k] = self.roots[c]
+            elif len(c) <= _TREE:
+                self.seen[c] = visits = self.seen.get(c, 0) + 1
+                if visits >= _VISITS:
+                    del self.seen[c]
+                    node[k] = self.roots[c] = self._add(c, (), 0)
+        for k in range(0, len(flat), 20_000):
+            self._walk(node, keys, k + np.flatnonzero(node[k : k + 20_000]))
+        parts = list(map(self.ids.__getitem__, node.tolist()))
+        alone = np.flatnonzero(node == 0)
+        for k, ids in zip(alone.tolist(), self.model.segment([flat[k] for k in alone.tolist()], keys[alone], self.dropout), strict=True):
+            parts[k] = ids
+        return [b"".join(parts[a:b]) for a, b in zip((stops - sizes).tolist(), stops.tolist(), strict=True)]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder_of(path: str, seed: int, dropout: float, variants: int) -> Encoder:
+def encoder_of(path: str, seed: int, dropout: float) -> Encoder:
     """The worker's encoder for a model and its settings."""
-    key = (path, seed, dropout, variants)
+    key = (path, seed, dropout)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(Model(path), seed, dropout, variants)
+        _ENCODERS[key] = Encoder(Model(path), seed, dropout)
     return _ENCODERS[key]
 
 
-def encode(docs: DataFrame, model: str, seed: int = 1, dropout: float = 0.1, variants: int = 4, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: str, seed: int = 1, dropout: float = 0.1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, lossless, ids) of every document: its ids (null if ``with_ids`` is off), their
     CRC-32 as little-endian uint32, and whether decoding them gave the text back."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -269,7 +366,7 @@ def encode(docs: DataFrame, model: str, seed: int = 1, dropout: float = 0.1, var
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            encoder = encoder_of(model, seed, dropout, variants)
+            encoder = encoder_of(model, seed, dropout)
             doc_ids, texts = (c.to_pylist() for c in b.columns)
             for part in slices(texts):
                 coded = encoder.encode(doc_ids[part], texts[part])
@@ -287,7 +384,7 @@ def decode(coded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = encoder_of(model, 0, 0.0, 1).model
+            m = encoder_of(model, 0, 0.0).model
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else m.decode(x) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     return coded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")

@@ -54,3 +54,38 @@ def test_frames(spark):
     back = pieces.decode(pieces.encode(docs, PATH), PATH).collect()
     assert sorted((r.doc_id or 0, r.text) for r in back) == sorted((i or 0, t or "") for i, t, _ in rows)
     assert pieces.encode(docs.limit(0), PATH).count() == 0
+
+
+def test_every_occurrence_has_a_segmentation_of_its_own():
+    text = "internationalisation " * 400
+    ids = np.frombuffer(pieces.Encoder(MODEL, 1, 0.1).encode([5], [text])[0], "<u4").tolist()
+    forms = {tuple(x) for x in _by_word(ids, "internationalisation", 400)}
+    assert len(forms) > 8
+    encoder = pieces.Encoder(MODEL, 1, 0.1)
+    assert len(set(encoder.encode(list(range(400)), [" unthinkable"] * 400))) > 8
+    assert encoder.encode([3], [" unthinkable"]) == pieces.Encoder(MODEL, 1, 0.1).encode([3], [" unthinkable"])
+
+
+def _by_word(ids, word, n):
+    words, at = [[]], 0
+    for k in ids:
+        if at == len(word) + 1:
+            words.append([])
+            at = 0
+        words[-1].append(k)
+        at += len(MODEL.bytes_of[k])
+    return words[:n]
+
+
+def test_trees_give_what_the_heap_gives(monkeypatch):
+    monkeypatch.setattr(MODEL, "segment", lambda chunks, keys, dropout: [MODEL.by_heap(c, int(k), dropout).astype("<u4").tobytes() for c, k in zip(chunks, keys, strict=True)])
+    words = "the international réunion of unthinkable things, 12345 日本 and again".split(" ")
+    texts = [" ".join(words[(k * j) % len(words)] for j in range(60)) for k in range(80)]
+    for dropout in (0.0, 0.1, 0.5):
+        warm = pieces.Encoder(MODEL, 7, dropout)
+        for _ in range(2):
+            coded = warm.encode(list(range(80)), texts)
+        heap = [pieces.Encoder(MODEL, 7, dropout).encode([k], [t])[0] for k, t in enumerate(texts)]
+        monkeypatch.setattr(pieces, "_TREE", -1)
+        assert coded == heap == [pieces.Encoder(MODEL, 7, dropout).encode([k], [t])[0] for k, t in enumerate(texts)]
+        monkeypatch.setattr(pieces, "_TREE", 24)
