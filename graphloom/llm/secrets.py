@@ -5,7 +5,8 @@ match attempts, oldest first, each a set of NFA states; that makes the automaton
 non-overlapping matches. Subset construction over the product of all rules gives one deterministic automaton, Moore
 minimisation shrinks it, and it becomes one flat transition array with 256 entries a state. A text is scanned once,
 byte by byte, for all rules together; states in which a match has just ended are numbered last, so the inner loop is
-one lookup and one comparison. A match's start is found by running the reversed rule back from its end.
+one lookup and one comparison. A match's start is found by running the reversed rule back from its end. A PEM key's
+header is found so; its body and END line are added where a match ends.
 
 The operator is a map over Arrow batches: no shuffle, no state between rows, memory bounded by a batch.
 
@@ -17,6 +18,7 @@ null or repeated. Very long texts are scanned whole, in linear time. Extra colum
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -32,7 +34,8 @@ class Rule:
     """A kind of secret: its pattern (a subset of regular expressions), and what a match must measure.
 
     ``min_bytes`` is asked of the whole match, or, where ``value`` is set, of what follows the first : or = and
-    an opening quote. Matches that fail are dropped, but have consumed their text.
+    an opening quote. Matches that fail are dropped, but have consumed their text. What ``tail`` finds right behind a
+    match is part of it; ``rest`` says what ``redact`` takes besides, where there is no such tail.
     """
 
     kind: str
@@ -40,6 +43,17 @@ class Rule:
     min_bytes: int = 1
     value: bool = False
     ignore_case: str = ""
+    tail: bytes = b""
+    rest: bytes = b""
+
+
+#: A key's body: fields of old formats, then base64 in lines that may be indented, quoted or escaped. It holds no two
+#: dashes in a row, so it never runs into another key. Possessive, so linear in the text.
+_GAP = rb"(?:\s|[\"'`,;+>#*|]|\\+[nrt]|\\)"
+_FIELDS = rb"%(gap)s*+(?:[A-Z][A-Za-z]*+(?:-[A-Za-z]++)*+:(?:[^\r\n\\-]|-(?!-))*+%(gap)s++)*+" % {b"gap": _GAP}
+_BODY = _FIELDS + rb"(?:[A-Za-z0-9/=]|%(gap)s)*+-----END [A-Z ]*PRIVATE KEY-----" % {b"gap": _GAP}
+#: The body of a key that was cut off: long base64 lines, and a short one behind them.
+_CUT = _FIELDS + rb"(?:[A-Za-z0-9+/]{32,}+=*+(?:%(gap)s++|(?![^\s])))+(?:[A-Za-z0-9+/]++=*+(?=[\r\n]|\Z))?" % {b"gap": _GAP}
 
 
 # The three base rules of the query's contract, in the order in which it lists them.
@@ -51,7 +65,7 @@ BASE = (
 EXTRA = (
     Rule("github", "gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("jwt", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 40),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", tail=_BODY, rest=_CUT),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", 24),
 )
 RULES = BASE + EXTRA
@@ -238,6 +252,7 @@ class Automaton:
         def close(r: int, end: int) -> None:
             start = self.scanners[r].begin(data, end, free[r])
             free[r] = end
+            end = _with(self.scanners[r].rule.tail, data, end)
             if _long_enough(self.scanners[r].rule, data, start, end):
                 found.append((start, end, r))
 
@@ -252,6 +267,12 @@ class Automaton:
         return found
 
 
+def _with(pattern: bytes, data: bytes, end: int) -> int:
+    """The end of a match with what the pattern finds right behind it."""
+    found = re.compile(pattern).match(data, end) if pattern else None
+    return found.end() if found else end
+
+
 def _long_enough(rule: Rule, data: bytes, start: int, end: int) -> bool:
     if not rule.value:
         return end - start >= rule.min_bytes
@@ -382,7 +403,9 @@ def _redacted(data: bytes | None, automaton: Automaton, table: list[int]) -> byt
         return None
     out, at = [], 0
     for a, b, r in sorted(automaton.spans(data, table), key=lambda x: (x[0], x[2])):
+        rule = automaton.scanners[r].rule
+        b = _with(rule.rest, data, b)
         if a >= at:
-            out += [data[at:a], b"[" + automaton.scanners[r].rule.kind.upper().encode() + b"]"]
+            out += [data[at:a], b"[" + rule.kind.upper().encode() + b"]"]
         at = max(at, b)
     return b"".join([*out, data[at:]]) if at else data
