@@ -3,28 +3,35 @@
 1. Every document gets a 64-bit fingerprint in an Arrow map (no shuffle).
 2. Equal fingerprints collapse to one class by a partially aggregated groupBy, so thousands of exact copies
    cost one row from here on.
-3. Classes are dealt to buckets. The 64 bits are cut into ``budget + 1`` blocks; two fingerprints that differ in
-   at most ``budget`` bits agree on a whole block, so every link is inside a bucket (block, block value). A bucket
-   with more than ``bucket_rows`` classes is dealt once more by the blocks of its remaining bits, which is exact
-   by the same argument.
-4. In a bucket, a binary trie over the sorted fingerprints is joined with itself: node pairs are expanded together,
-   differing bits are added up, and a pair over the budget is dropped with everything below it. Links become a
-   spanning forest there, so a dense bucket of m classes emits fewer than m edges.
+3. The fingerprints form binary tries that are joined with themselves: pairs of nodes are expanded together, bit by
+   bit, their differing bits are added up, and a pair over its error budget is dropped with everything below it, until
+   both are single fingerprints, which are compared. There are ``budget + 1`` tries, one for each of as many blocks of
+   bits moved to the front, because errors can be held to a tighter budget on the way down: of the rotations of a
+   sequence of ``budget + 1`` block errors that sum to ``budget`` at most, one has at most l - 1 errors in its first
+   l blocks, for every l (the cycle lemma). So every link is found in one of the tries, and near the root, where nodes are
+   large, a node is paired with itself or with very few others.
+4. Tasks hold node pairs. Nodes of a depth that follows from the number of classes are dealt out, each with itself, as
+   no error is allowed there yet; a pair of nodes with more than ``most_rows`` classes is dealt again as the pairs of
+   its descendants one block further down that are within budget, and so on, so a dense region is split as often as it takes.
+   Links become a spanning forest in a task: a dense node of m classes emits fewer than m edges.
 5. Connected components of those edges, in distributed rounds, give every class its smallest doc_id.
 
 Nulls and odd rows: a null or wordless text has fingerprint zero and is linked like any other. Rows with a null
-doc_id are kept; they count only for a component without any other id (its component_id is null). Rows that
-share a doc_id are one document: their components are one. Extra columns are ignored. An empty table gives no rows.
+doc_id are kept; they count only for a component without any other id (its component_id is null). Rows that share a doc_id
+are linked by their texts like any others. Equal fingerprints are one class, so repeated rows and ties cost nothing. A very
+long text is hashed in pieces of 65,536 shingles. Extra columns are ignored (``near_duplicates``) or kept, whatever
+their names (``keep_one``). An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -32,9 +39,10 @@ from graphloom.operators.components import connected_components
 from graphloom.scratch import materialise
 
 BITS = 64
-#: Classes without a doc_id are numbered from here on; doc_ids stay below.
-NO_ID = 1 << 62
+CELL = ["kind", "depth", "a", "b"]
 _HASHES_AT_ONCE = 1 << 16
+_PAIRS_AT_ONCE = 1 << 16
+_FLIP = -(1 << 63)
 
 
 def fingerprint(text: bytes | None, shingle_words: int = 4, seed: int = 42) -> int:
@@ -70,20 +78,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return narrow.mapInArrow(run, "doc_id long, fp long")
 
 
-def _blocks(bits: int, parts: int) -> list[tuple[int, int]]:
-    """(offset from the top, width) of the blocks that ``bits`` bits are cut into."""
-    cuts = [bits * k // parts for k in range(parts + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+def blocks(budget: int) -> list[int]:
+    """The widths of the budget + 1 blocks that a fingerprint is cut into."""
+    cuts = [BITS * k // (budget + 1) for k in range(budget + 2)]
+    return [b - a for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def rotate(x: np.ndarray, by: int, top: int = 0) -> np.ndarray:
-    """Rotate left the bits below the first ``top`` ones, so that a block comes to stand right behind those."""
-    if by == 0:
-        return x
-    width = BITS - top
-    low = np.uint64(0xFFFFFFFFFFFFFFFF) >> np.uint64(top)
-    rest = x & low
-    return (x & ~low) | ((rest << np.uint64(by)) & low) | (rest >> np.uint64(width - by))
+def rotated(budget: int) -> list[tuple[int, list[int]]]:
+    """For each trie how far fingerprints are rotated left, and the widths of the blocks as they then stand."""
+    widths = blocks(budget)
+    return [(sum(widths[:k]), widths[k:] + widths[:k]) for k in range(budget + 1)]
 
 
 class Forest:
@@ -112,187 +116,219 @@ class Forest:
         return self.parent
 
 
-def trie_self_join(values: np.ndarray, depth: int, budget: int, leaf: int = 256, at_once: int = 1 << 20) -> Forest:
-    """Unite the positions of ascending, distinct uint64 ``values`` that share their first ``depth`` bits and
-    differ in at most ``budget`` bits.
+def trie_self_join(values: np.ndarray, pairs: np.ndarray, allowed: np.ndarray, budget: int) -> Forest:
+    """Unite the positions of uint64 ``values`` that differ in at most ``budget`` bits, starting from node pairs.
 
-    A trie node is a run [lo, hi) of values with a common prefix. Pairs of nodes wait on a stack in array chunks;
-    the pairs of a node with itself are expanded before those of two siblings, so that siblings already united are
-    dropped unseen. Memory is bounded by the chunk sizes, whatever the data.
+    A trie node is a run [lo, hi) of ascending, distinct values with a common prefix. ``pairs`` has the columns (lo, hi, lo, hi,
+    depth, differing bits so far); a node may be paired with itself. ``allowed`` holds for every bit how many bits may differ up to
+    it. Pairs wait on a stack, those of nodes that are alike on top, so that siblings already united are dropped
+    unseen. Memory is bounded by the chunks, whatever the data.
     """
     forest = Forest(len(values))
-    if len(values) < 2:
-        return forest
-    top = values >> np.uint64(BITS - depth) if depth else np.zeros(len(values), np.uint64)
-    lo = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
-    hi = np.append(lo[1:], len(values))
-    big = hi - lo > 1
-    stack = [np.stack([lo, hi, lo, hi, np.full(len(lo), depth), np.zeros(len(lo), np.int64)])[:, big]]
+    stack = [_proper(pairs)]
     while stack:
         pairs = stack.pop()
-        if pairs.shape[1] > 1 << 16:
-            stack.append(pairs[:, 1 << 16 :])
-            pairs = pairs[:, : 1 << 16]
+        if pairs.shape[1] > _PAIRS_AT_ONCE:
+            stack.append(pairs[:, :-_PAIRS_AT_ONCE])
+            pairs = pairs[:, -_PAIRS_AT_ONCE:]
         pairs = _apart(pairs, forest)
-        small = ((pairs[1] - pairs[0]) * (pairs[3] - pairs[2]) <= leaf) | (pairs[4] >= BITS)
-        _compare(values, pairs[:, small], budget, forest, at_once)
-        alike, crossed = _expand(values, pairs[:, ~small], budget)
-        stack += [x for x in (crossed, alike) if x.shape[1]]
+        single = (pairs[1] - pairs[0] == 1) & (pairs[3] - pairs[2] == 1)
+        i, j = pairs[0, single], pairs[2, single]
+        near = np.bitwise_count(values[i] ^ values[j]) <= budget
+        forest.unite(i[near], j[near])
+        if not single.all():
+            stack.append(_expand(values, pairs[:, ~single], allowed))
     return forest
 
 
+def _proper(pairs: np.ndarray) -> np.ndarray:
+    """Without empty nodes and without single values paired with themselves."""
+    return pairs[:, (pairs[1] > pairs[0]) & (pairs[3] > pairs[2]) & ((pairs[0] != pairs[2]) | (pairs[1] - pairs[0] > 1))]
+
+
 def _apart(pairs: np.ndarray, forest: Forest) -> np.ndarray:
-    """Without the large pairs whose values are all united already."""
-    large = np.flatnonzero(pairs[1] - pairs[0] + pairs[3] - pairs[2] >= 1024)
-    if not len(large):
+    """Without the pairs whose values are all united already; looked for where there is much to save."""
+    if ((pairs[1] - pairs[0]) * (pairs[3] - pairs[2])).sum() < 4 * len(forest.parent):
         return pairs
     label = forest.flatten()
-    done = [k for k in large if (x := label[pairs[0, k]]) == label[pairs[2, k]] and (label[pairs[0, k] : pairs[1, k]] == x).all() and (label[pairs[2, k] : pairs[3, k]] == x).all()]
-    return np.delete(pairs, done, axis=1)
+    breaks = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
+    lo, hi, lo2, hi2 = pairs[:4]
+    done = (breaks[hi - 1] == breaks[lo]) & (breaks[hi2 - 1] == breaks[lo2]) & (label[lo] == label[lo2])
+    return pairs[:, ~done]
 
 
-def _expand(values: np.ndarray, pairs: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """The children of node pairs: those on equal bits, and those on differing bits, which cost one."""
-    alo, ahi, blo, bhi, depth, err = pairs
-    bit = (BITS - 1 - depth).astype(np.uint64)
+def _middle(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Where in each run the values begin that have the bit set."""
+    while (open_ := lo < hi).any():
+        at = (lo + hi) >> 1
+        up = (values[np.minimum(at, len(values) - 1)] >> bit) & np.uint64(1) == 1
+        lo, hi = np.where(open_ & ~up, at + 1, lo), np.where(open_ & up, at, hi)
+    return lo
 
-    def half(lo: np.ndarray) -> np.ndarray:
-        return np.searchsorted(values, ((values[lo] >> bit) | np.uint64(1)) << bit)
 
-    amid, bmid = half(alo), half(blo)
-    amid, bmid = np.clip(amid, alo, ahi), np.clip(bmid, blo, bhi)
-    alike = np.concatenate([np.stack([alo, amid, blo, bmid, depth + 1, err]), np.stack([amid, ahi, bmid, bhi, depth + 1, err])], axis=1)
+def _expand(values: np.ndarray, pairs: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """The children of node pairs that are within budget: those on differing bits, which cost one, and those on equal bits."""
+    alo, ahi, blo, bhi, depth, err = pairs
     own = alo == blo
-    crossed = np.concatenate(
-        [np.stack([alo, amid, bmid, bhi, depth + 1, err + 1]), np.stack([amid, ahi, blo, bmid, depth + 1, err + 1])[:, ~own]], axis=1
-    )
-    crossed = crossed[:, crossed[5] <= budget]
-    full = lambda p: p[:, (p[1] > p[0]) & (p[3] > p[2]) & ((p[0] != p[2]) | (p[1] - p[0] > 1))]
-    return full(alike), full(crossed)
-
-
-def _compare(values: np.ndarray, pairs: np.ndarray, budget: int, forest: Forest, at_once: int) -> None:
-    """Unite the close values of small node pairs."""
-    width = pairs[3] - pairs[2]
-    sizes = (pairs[1] - pairs[0]) * width
-    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // at_once)) + 1
-    for part in np.split(np.arange(pairs.shape[1]), cuts):
-        if not len(part):
-            continue
-        n, w = sizes[part], width[part]
-        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        w = np.repeat(w, n)
-        i, j = np.repeat(pairs[0, part], n) + k // w, np.repeat(pairs[2, part], n) + k % w
-        near = (i != j) & (np.bitwise_count(values[i] ^ values[j]) <= budget)
-        forest.unite(i[near], j[near])
+    bit = (BITS - 1 - depth).astype(np.uint64)
+    amid = _middle(values, alo, ahi, bit)
+    bmid = amid.copy()
+    bmid[~own] = _middle(values, blo[~own], bhi[~own], bit[~own])
+    crossed = np.concatenate([np.stack([alo, amid, bmid, bhi, depth + 1, err + 1]), np.stack([amid, ahi, blo, bmid, depth + 1, err + 1])[:, ~own]], axis=1)
+    alike = np.concatenate([np.stack([alo, amid, blo, bmid, depth + 1, err]), np.stack([amid, ahi, bmid, bhi, depth + 1, err])], axis=1)
+    found = _proper(np.concatenate([crossed, alike], axis=1))
+    return found[:, found[5] <= allowed[found[4] - 1]]
 
 
-def _bucketed(batches: Iterator[pa.RecordBatch], budget: int, widths: dict[int, int], rows: int) -> Iterator[pa.RecordBatch]:
-    """Trie-join whole buckets of a sorted partition, about ``rows`` rows at a time."""
-    held: list[pa.Table] = []
-    n = 0
+def _in_cells(batches: Iterator[pa.RecordBatch], budget: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Trie-join whole cells of a sorted partition, about ``rows`` rows at a time."""
+    tries = rotated(budget)
 
-    def joined(t: pa.Table) -> pa.RecordBatch:
-        kind, fp, rep = (t.column(k).to_numpy() for k in ("kind", "r", "rep"))
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        kind, depth, a, b, r = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in range(5))
+        x = r.view(np.uint64) ^ np.uint64(1 << 63)
         src, dst = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for k in np.unique(kind):
-            at = kind == k
-            # see _copies
-            x, own = (fp[at].view(np.uint64) ^ np.uint64(1 << 63)), rep[at]
-            root = trie_self_join(x, widths[int(k)], budget).flatten()
+        edge = np.flatnonzero(np.diff(kind, prepend=kind[0] - 1, append=kind[-1] + 1))
+        for s, e in zip(edge, edge[1:], strict=False):
+            by, widths = tries[kind[s]]
+            values = x[s:e]
+            pairs = _start(values, depth[s:e].astype(np.int64), a[s:e], b[s:e])
+            root = trie_self_join(values, pairs, np.repeat(np.arange(budget + 1), widths), budget).flatten()
             linked = np.flatnonzero(root != np.arange(len(root)))
-            src.append(own[linked])
-            dst.append(own[root[linked]])
+            back = np.uint64((BITS - by) % BITS)
+            fp = ((values << back) | (values >> (np.uint64(BITS) - back)) if back else values).view(np.int64)
+            src.append(fp[linked])
+            dst.append(fp[root[linked]])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
 
-    for b in batches:
-        held.append(pa.Table.from_batches([b]))
-        n += b.num_rows
-        if n < rows:
+    held: list[pa.RecordBatch] = []
+    n, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        t = pa.concat_tables(held).combine_chunks()
-        key = np.stack([t.column("kind").to_numpy(), t.column("bucket").to_numpy()])
-        new = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0))
-        cut = int(new[-1]) + 1 if len(new) else 0
-        if cut:
-            yield joined(t.slice(0, cut))
-        held, n = [t.slice(cut)], t.num_rows - cut
+        key = np.stack([batch.column(k).to_numpy() for k in range(4)])
+        new = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        cut = int(new[-1]) if len(new) else 0
+        if not cut and last is not None and (key[:, 0] != last).any():
+            cut = -1  # the batch begins a cell
+        if cut and n + max(cut, 0) >= rows:
+            if cut > 0:
+                held.append(batch.slice(0, cut))
+            if held:
+                yield joined(held)
+            held, n, batch = [], 0, batch.slice(max(cut, 0))
+        held.append(batch)
+        n += batch.num_rows
+        last = key[:, -1]
     if n:
-        yield joined(pa.concat_tables(held).combine_chunks())
-
-
-def _copies(r: Column, top: int, parts: int, kind0: int) -> tuple[Column, dict[int, int]]:
-    """Structs (kind, bucket, r), one for each block of the bits below ``top``, with that block moved up; r and the
-    results hold an unsigned order as a signed long."""
-    low = (1 << (BITS - top)) - 1
-    signed = low - (1 << 64) if low >= 1 << 63 else low
-    flip = -(1 << 63)
-    raw = r.bitwiseXOR(F.lit(flip))
-    rest, kept = raw.bitwiseAND(F.lit(signed)), raw.bitwiseAND(F.lit(~signed))
-    structs, widths = [], {}
-    for k, (by, width) in enumerate(_blocks(BITS - top, parts)):
-        turned = F.shiftleft(rest, by).bitwiseAND(F.lit(signed)).bitwiseOR(F.shiftrightunsigned(rest, BITS - top - by)) if by else rest
-        moved = kept.bitwiseOR(turned)
-        bucket = F.shiftrightunsigned(moved, BITS - top - width)
-        structs.append(F.struct(F.lit(kind0 + k).alias("kind"), bucket.alias("bucket"), moved.bitwiseXOR(F.lit(flip)).alias("r")))
-        widths[kind0 + k] = top + width
-    return F.array(*structs), widths
-
-
-def links(classes: DataFrame, budget: int = 4, bucket_rows: int = 16_384) -> DataFrame:
-    """Edges (src, dst) between the representatives ``rep`` of fingerprint classes (fp, rep), a spanning forest of
-    every bucket: their components are those of all links."""
-    parts = budget + 1
-    copies, widths = _copies(F.col("fp").bitwiseXOR(F.lit(-(1 << 63))), 0, parts, 0)
-    first = classes.select("rep", F.inline(copies))
-    hot = first.groupBy("kind", "bucket").count().where(F.col("count") > bucket_rows).select("kind", "bucket", F.lit(True).alias("hot"))
-    again = F.when(F.col("hot").isNull(), F.array(F.struct("kind", "bucket", "r")))
-    for kind in range(parts):
-        split, more = _copies(F.col("r"), widths[kind], parts, (kind + 1) * 100)
-        again = again.when(F.col("kind") == kind, split)
-        widths |= more
-    dealt = first.join(hot, ["kind", "bucket"], "left").select("rep", F.inline(again))
-    in_order = dealt.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "r")
-    return in_order.mapInArrow(lambda it: _bucketed(it, budget, widths, 1 << 17), "src long, dst long")
+        yield joined(held)
+
+
+def _start(values: np.ndarray, depth: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The node pairs of the cells in sorted rows: a node with itself, or the two nodes that its rows fall in."""
+    new = np.concatenate(([True], (depth[1:] != depth[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    lo = np.flatnonzero(new)
+    hi = np.append(lo[1:], len(values))
+    left = (values >> (BITS - np.maximum(depth, 1)).astype(np.uint64)).astype(np.int64) == a
+    middle = lo + np.add.reduceat(left, lo)
+    own = a[lo] == b[lo]
+    return np.stack([lo, np.where(own, hi, middle), np.where(own, lo, middle), hi, depth[lo], np.bitwise_count(a[lo] ^ b[lo])]).astype(np.int64)
+
+
+def _masks(width: int, most: int) -> list[int]:
+    """The numbers of ``width`` bits with at most ``most`` ones."""
+    return [sum(1 << k for k in ones) for n in range(most + 1) for ones in combinations(range(width), n)]
+
+
+def cells(classes: DataFrame, budget: int = 4, node_rows: int = 4096, most_rows: int = 16_384) -> DataFrame:
+    """(kind, depth, a, b, r): the classes in their node pairs: the trie, the nodes' depth and prefixes, and the rotated
+    fingerprint, with its top bit flipped, as signed numbers are sorted."""
+    n = classes.count()
+    tries = rotated(budget)
+    top = min(min(blocks(budget)), max(0, (n // node_rows).bit_length()))
+    most = max(most_rows, 8 * n >> top)
+    fp = F.col("fp")
+    turned = [F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, BITS - by)) if by else fp for by, _ in tries]
+    rows = classes.select(F.posexplode(F.array(*turned)).alias("kind", "x"))
+    node = F.shiftrightunsigned("x", BITS - top) if top else F.lit(0).cast("long")
+    rows = rows.select("kind", F.lit(top).alias("depth"), node.alias("a"), node.alias("b"), F.col("x").bitwiseXOR(F.lit(_FLIP)).alias("r"))
+    for level in range(budget):
+        large = materialise(rows.groupBy(*CELL).count().where(F.col("count") > most).select(*CELL, F.lit(True).alias("large")), "large-nodes")
+        if large.isEmpty():
+            break
+        split = F.when(F.col("large").isNull(), F.array(F.struct("depth", "a", "b")))
+        for kind, (_, widths) in enumerate(tries):
+            for at in {top, *(sum(widths[:k]) for k in range(1, level + 1))}:
+                k = next(k for k in range(budget + 1) if sum(widths[: k + 1]) > at)
+                split = split.when((F.col("kind") == kind) & (F.col("depth") == at), _descendants(at, sum(widths[: k + 1]), k))
+        rows = rows.join(large, CELL, "left").select("kind", F.inline(split), "r").select(*CELL, "r")
+    return rows
+
+
+def _descendants(depth: int, below: int, allowed: int):
+    """The node pairs at depth ``below`` that a row of a node pair at ``depth`` belongs to, within the allowed errors."""
+    width = below - depth
+    raw = F.col("r").bitwiseXOR(F.lit(_FLIP))
+    own = F.shiftrightunsigned(raw, BITS - below)
+    left = F.shiftrightunsigned(raw, BITS - depth) == F.col("a") if depth else F.lit(True)
+    spent = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    masks = F.filter(F.array(*[F.lit(m).cast("long") for m in _masks(width, allowed)]), lambda m: F.bit_count(m) + spent <= allowed)
+    # the other node: the row's own bits with some flipped, below the other prefix
+    bits = own.bitwiseAND(F.lit((1 << width) - 1))
+    other = F.shiftleft(F.when(left, F.col("b")).otherwise(F.col("a")), width).bitwiseOR(bits)
+    pair = lambda m: F.struct(
+        F.lit(below).alias("depth"), F.least(own, other.bitwiseXOR(m)).alias("a"), F.greatest(own, other.bitwiseXOR(m)).alias("b")
+    )
+    return F.transform(masks, pair)
+
+
+def links(classes: DataFrame, budget: int = 4, node_rows: int = 4096, most_rows: int = 16_384) -> DataFrame:
+    """Edges (src, dst) between distinct fingerprints ``fp``, a spanning forest of every node pair: their components are
+    those of all links."""
+    dealt = cells(classes, budget, node_rows, most_rows)
+    in_order = dealt.repartition(*CELL).sortWithinPartitions(*CELL, "r")
+    return in_order.mapInArrow(lambda it: _in_cells(it, budget, 1 << 17), "src long, dst long")
 
 
 def assigned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, budget: int = 4) -> DataFrame:
-    """(doc_id, fp, component) of every row; a component's number is its smallest doc_id, or NO_ID or more if it has none."""
+    """(doc_id, fp, root, component_id) of every row; ``root`` is a fingerprint that stands for the component."""
     prints = materialise(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    unnamed = F.pmod(F.xxhash64("fp"), F.lit(NO_ID)) + F.lit(NO_ID)
-    classes = materialise(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), unnamed).alias("rep")), "classes")
-    found = connected_components(links(classes, budget))
-    named = classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component")
+    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    found = connected_components(links(classes.select("fp"), budget))
+    rooted = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, budget: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document; see the module."""
-    return assigned(docs, id_col, text_col, shingle_words, budget).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id")
-    )
+    return assigned(docs, id_col, text_col, shingle_words, budget).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, budget: int = 4) -> DataFrame:
     """The documents, all columns, one of each component: that of the smallest doc_id.
 
     Rows are told apart by their id. Those whose id is null or repeated, few in a sound table, are told apart by their
-    fingerprint as well, so that exactly one row stays."""
+    fingerprint as well, and by the whole row written as JSON, of which the first in order stays."""
+    own, mark = "_", "_fp"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own, mark = own + "_", f"{own}_fp"
     rows = materialise(assigned(docs, id_col, text_col, shingle_words, budget), "components")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp")
-    winner = rows.groupBy("component").agg(F.min(order).alias("first")).select("first.doc_id", "first.fp")
-    unclear = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id")
-    key = F.col(id_col).cast("long")
-    sound = docs.where(key.isNotNull()).join(unclear.select(F.col("doc_id").alias("__u")), key == F.col("__u"), "left_anti")
-    sound = sound.join(winner.select(F.col("doc_id").alias("__w")), key == F.col("__w"), "left_semi")
-    odd = docs.join(unclear.select(F.col("doc_id").alias("__u")), key.eqNullSafe(F.col("__u")), "left_semi")
+    winner = rows.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias(own), F.col("first.fp").alias(f"{own}w"))
+    unclear = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias(own))
+    key = F.col(f"`{id_col}`").cast("long")
+    sound = docs.where(key.isNotNull()).join(unclear, key == F.col(own), "left_anti").join(winner, key == F.col(own), "left_semi")
+    odd = docs.join(unclear, key.eqNullSafe(F.col(own)), "left_semi")
     k = docs.columns.index(text_col)
 
     def fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t, shingle_words) for t in b.column(k).cast(pa.binary()).to_pylist()), np.uint64, b.num_rows)
-            yield b.append_column("__fp", pa.array(fp.view(np.int64)))
+            yield b.append_column(mark, pa.array(fp.view(np.int64)))
 
-    odd = odd.mapInArrow(fingerprinted, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
-    chosen = odd.join(winner.select(F.col("doc_id").alias("__w"), F.col("fp").alias("__wfp")), key.eqNullSafe(F.col("__w")) & (F.col("__fp") == F.col("__wfp")), "left_semi")
-    return sound.unionByName(chosen.dropDuplicates([id_col, "__fp"]).drop("__fp"))
+    odd = odd.mapInArrow(fingerprinted, StructType([*docs.schema.fields, StructField(mark, LongType())]))
+    chosen = odd.join(winner, key.eqNullSafe(F.col(own)) & (F.col(mark) == F.col(f"{own}w")), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = chosen.groupBy(key.alias(own), mark).agg(F.min_by(whole, F.to_json(whole)).alias(own + "row"))
+    return sound.unionByName(first.select(f"{own}row.*"))
