@@ -7,12 +7,13 @@ the driver, so a task that is run again leaves nothing behind but an unlisted fi
 
 Reading. A split is a byte range of a file. Its task looks for the gzip magic, accepts a candidate only if the
 member's head decodes to a WARC header, and owns the records that start inside the range, to their end wherever
-that is. Neighbouring members are then read one after another. One record is in memory at a time.
+that is. Neighbouring members are then read one after another through one buffer, so that a file is fetched once. One record is in
+memory at a time, however long its page.
 
 Nulls and odd rows: null html is an empty payload; a null url becomes about:blank; a row with a null page_id is
 written without a page id, and can only be a revisit if its payload has a smallest page. Rows that repeat page and
 payload are all written; those of the smallest page are all responses. Extra columns are ignored. An empty table
-gives no archives and no rows.
+gives no archives and no rows. Of pages that tie in payload the smallest id is the response.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ MAGIC = b"\x1f\x8b\x08"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE = "urn:page:"
 _READ = 1 << 18
+_FEED = 1 << 14
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str, level: int) -> bytes:
@@ -127,52 +129,72 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
 
 
-def _looks_valid(f: pa.NativeFile, at: int) -> bool:
-    """Whether the bytes at an offset begin a gzip member that decodes to a WARC header."""
-    try:
-        return zlib.decompressobj(31).decompress(f.read_at(512, at), 64).startswith(b"WARC/1.")
-    except zlib.error:
+class Cursor:
+    """Reads a file forward through one buffer, so that every byte is fetched once."""
+
+    def __init__(self, f: pa.NativeFile, at: int) -> None:
+        self.f, self.at = f, at
+        self.held, self.off = b"", 0
+
+    def ahead(self, n: int) -> int:
+        """How many bytes are held from here on, after fetching until they are n or the file ends."""
+        while len(self.held) - self.off < n:
+            more = self.f.read_at(_READ, self.at + len(self.held) - self.off)
+            if not more:
+                break
+            self.held, self.off = self.held[self.off :] + more, 0
+        return len(self.held) - self.off
+
+    def skip(self, n: int) -> None:
+        self.off += n
+        self.at += n
+
+    def begins_record(self, offset: int = 0) -> bool:
+        """Whether a gzip member that decodes to a WARC header begins so many bytes from here."""
+        self.ahead(offset + 512)
+        try:
+            return zlib.decompressobj(31).decompress(self.held[self.off + offset : self.off + offset + 512], 64).startswith(b"WARC/1.")
+        except zlib.error:
+            return False
+
+    def seek_record(self, end: int) -> bool:
+        """Move to the first record at or behind this place that starts before ``end``."""
+        while self.at < end and self.ahead(len(MAGIC)) >= len(MAGIC):
+            hit = self.held.find(MAGIC, self.off) - self.off
+            if hit < 0:
+                self.skip(len(self.held) - self.off - len(MAGIC) + 1)
+                continue
+            self.skip(min(hit, end - self.at))
+            if self.at < end and self.begins_record():
+                return True
+            self.skip(1)
         return False
 
-
-def _next_start(f: pa.NativeFile, at: int, end: int) -> int | None:
-    """The first member start in [at, end)."""
-    while at < end:
-        window = f.read_at(min(_READ, end - at) + len(MAGIC) - 1, at)
-        hit = window.find(MAGIC)
-        while hit >= 0:
-            if at + hit < end and _looks_valid(f, at + hit):
-                return at + hit
-            hit = window.find(MAGIC, hit + 1)
-        at += _READ
-    return None
-
-
-def _member(f: pa.NativeFile, at: int) -> tuple[bytes, int]:
-    """The decoded member at an offset, and the offset behind it."""
-    unpacker, parts = zlib.decompressobj(31), []
-    while not unpacker.eof:
-        raw = f.read_at(_READ, at)
-        if not raw:
-            raise ValueError("a record ends in the middle")
-        parts.append(unpacker.decompress(raw))
-        at += len(raw)
-    return b"".join(parts), at - len(unpacker.unused_data)
+    def member(self) -> bytes:
+        """The decoded member here; the cursor moves behind it, or stays where it is if the member is damaged."""
+        unpacker, parts, fed = zlib.decompressobj(31), [], 0
+        while not unpacker.eof:
+            if self.ahead(fed + 1) == fed:
+                raise ValueError("a record ends in the middle")
+            raw = self.held[self.off + fed : self.off + fed + _FEED]
+            parts.append(unpacker.decompress(raw))
+            fed += len(raw)
+        self.skip(fed - len(unpacker.unused_data))
+        return b"".join(parts)
 
 
 def records(path: str, start: int, end: int) -> Iterator[Record]:
-    """The records that start in the byte range [start, end) of a file. Damaged stretches are skipped to the next
-    valid member."""
+    """The records that start in the byte range [start, end) of a file. Magic is looked for at the start of the range and
+    behind damage only: a record begins where the one before it ends. Damaged stretches are skipped to the next valid member."""
     fs, name = opened(path)
     with fs.open_input_file(name) as f:
-        at: int | None = start
-        while (at := _next_start(f, at, end)) is not None:
+        cursor = Cursor(f, start)
+        while cursor.at < end and (cursor.begins_record() or cursor.seek_record(end)):
             try:
-                data, behind = _member(f, at)
+                data = cursor.member()
             except (ValueError, zlib.error):
-                at += 1
+                cursor.skip(1)
                 continue
-            at = behind
             head, _, rest = data.partition(b"\r\n\r\n")
             headers = _fields(head)
             block = rest[: int(headers.get("content-length", len(rest)))]

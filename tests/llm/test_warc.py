@@ -51,6 +51,34 @@ def test_splits_own_each_record_once(spark, tmp_path):
     assert [r.headers["warc-record-id"] for r in warc.records(str(broken), 0, broken.stat().st_size)] == whole[:-1]
 
 
+def test_a_file_is_fetched_once(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(k, "u", "".join(chr(rng.randrange(32, 0x2000)) for _ in range(1500)), "") for k in range(1200)]
+    files = warc.write(spark.createDataFrame(rows, DDL).repartition(1), new_path(spark, "t"))
+    (path, size), = files
+    assert size > 3 << 20
+    fetched = []
+    ahead = warc.Cursor.ahead
+
+    def counted(self, n):
+        before = len(self.held) - self.off
+        fetched.append(ahead(self, n) - before)
+        return fetched[-1] + before
+
+    monkeypatch.setattr(warc.Cursor, "ahead", counted)
+    assert sum(1 for _ in warc.records(path, 0, size)) == 1200 and sum(fetched) == size
+    fetched.clear()
+    half = size // 2
+    assert sum(1 for a, b in ((0, half), (half, size)) for _ in warc.records(path, a, b)) == 1200 and sum(fetched) < 1.5 * size
+
+
+def test_a_very_long_page(spark):
+    html = "<p>" + "long page " * 800_000
+    docs = spark.createDataFrame([(2, "u", html, ""), (1, "v", html, "")], DDL)
+    got = {r.page_id: r for r in warc.round_trip(docs).collect()}
+    assert got[1].record_type == "response" and got[2].refers_to == 1 and got[2].payload_bytes == len(html)
+
+
 def test_payloads_come_back(spark):
     files = warc.write(spark.createDataFrame(ROWS[:5], DDL), new_path(spark, "t"), file_bytes=200)
     assert len(files) >= 3
