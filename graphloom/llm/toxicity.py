@@ -1,14 +1,15 @@
 """Toxicity by a classifier chain.
 
-The categories stand in a fixed order. Each has a linear (logistic) model over the distinct words and word prefixes
+The categories stand in a fixed order, and the last one decides. Each has a linear (logistic) model over the distinct words and word prefixes
 of a text, hashed to 2**20 buckets, plus the probabilities of the categories before it. When a later model is
 trained, those probabilities are out-of-fold: they come from models that did not see the row. Training (FTRL-proximal,
 whose L1 term leaves neutral words at exactly zero) runs on the driver over at most ``train_docs`` documents with and
-as many without the first category, chosen by hash; that bound is the only sampling. All documents are then scored whole in one map.
+as many without the last category, chosen by hash; that bound is the only sampling. All documents are then scored whole in one map.
 
 Nulls and odd rows: a null text, or one without a word, has probability 0 in all categories. Labels that are null do
-not train; a document labelled twice has the larger label. Null or repeated doc_ids are scored row by row. With no
-labels of both values for a category, its probability is the share of ones seen (0 without labels). Extra columns are
+not train; a document labelled twice has the larger label. Null or repeated doc_ids and repeated rows are scored row by row. With no
+labels of both values for a category, its probability is the share of ones seen (0 without labels). A probability that
+ties with the threshold counts as toxic. A very long text is scored whole, alone in its slice. Extra columns are
 ignored (``predict``) or kept (``keep_clean``). An empty table gives no rows.
 """
 
@@ -128,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     rated = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(*[F.max(c).cast("int").alias(f"__{k}") for k, c in enumerate(categories)])
     names = [f"__{k}" for k in range(len(categories))]
     rated = rated.dropna(subset=names)
-    picked = F.broadcast(sample_ids(rated.withColumnRenamed(id_col, "__id"), "__id", F.col("__0"), [0, 1], train_docs, 6))
+    picked = F.broadcast(sample_ids(rated.withColumnRenamed(id_col, "__id"), "__id", F.col(names[-1]), [0, 1], train_docs, 6))
     narrow = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(picked, "__id").select(*names, "__text")
     schema = pa.schema([*((n, pa.int32()) for n in names), ("ids", pa.list_(pa.int32()))])
 
@@ -147,20 +148,21 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
 
 
 def predict(docs: DataFrame, chain: Chain, categories: list[str], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.2) -> DataFrame:
-    """(doc_id, p_<category>..., is_toxic) of every document; is_toxic is that of the first category."""
+    """(doc_id, p_<category>..., is_toxic) of every document; is_toxic is that of the last category, which sees the others."""
     names = [f"p_{c}" for c in categories]
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), *((n, pa.float64()) for n in names)])
     scored = mapped(narrow, schema, "doc_id long, " + ", ".join(f"{n} double" for n in names), chain.score)
-    return scored.withColumn("is_toxic", F.col(names[0]) >= threshold)
+    return scored.withColumn("is_toxic", F.col(names[-1]) >= threshold)
 
 
-#: ``labels`` has one toxicity flag and one of quality; the second category is toxic text of low quality.
-CATEGORIES = ["toxic", "toxic_junk"]
+#: ``labels`` has one toxicity flag and one of quality: text of low quality comes first, as toxic text is often such.
+CATEGORIES = ["low_quality", "toxic"]
 
 
 def categorised(labels: DataFrame) -> DataFrame:
-    return labels.withColumn("toxic_junk", F.when(F.col("toxic").isNotNull(), ((F.col("toxic") == 1) & (F.coalesce("quality", F.lit(1)) == 0)).cast("int")))
+    """Labels with a column for each category; where quality is unknown, it counts as good."""
+    return labels.withColumn("low_quality", F.when(F.col("toxic").isNotNull(), (F.coalesce("quality", F.lit(1)) == 0).cast("int")))
 
 
 def flag(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -176,7 +178,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, text_col: str = "text", thres
     def run(batches):
         for b in batches:
             texts = b.column(k).to_pylist()
-            toxic = np.concatenate([chain.score(texts[part])[0] for part in slices(texts)]) if texts else np.zeros(0)
+            toxic = np.concatenate([chain.score(texts[part])[-1] for part in slices(texts)]) if texts else np.zeros(0)
             yield b.filter(pa.array(toxic < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,4 +1,6 @@
+import math
 import random
+from itertools import groupby
 
 import numpy as np
 
@@ -18,13 +20,83 @@ def unseen(spark):
 
 def test_toxicity_held_out(spark):
     docs, learn, test = unseen(spark)
-    rows = toxicity.flag(docs, learn).join(test, "doc_id").select("toxic", "quality", "is_toxic", "p_toxic_junk").collect()
+    rows = toxicity.flag(docs, learn).join(test, "doc_id").select("toxic", "quality", "is_toxic", "p_low_quality").collect()
     caught = np.mean([r.is_toxic for r in rows if r.toxic])
     wrong = np.mean([r.is_toxic for r in rows if not r.toxic])
     print("toxicity", caught, wrong)
     assert caught > 0.95 and wrong < 0.01
-    junk = [r.p_toxic_junk for r in rows if r.toxic and not r.quality]
-    assert np.mean(junk) > np.mean([r.p_toxic_junk for r in rows if r.toxic and r.quality])
+    poor = [r.p_low_quality for r in rows if not r.quality]
+    assert np.mean(poor) > np.mean([r.p_low_quality for r in rows if r.quality]) + 0.3
+
+
+def hashed_features(text):
+    """The buckets of a text's words and prefixes, one character at a time."""
+    text, found = (text or "").lower(), set()
+    for word, run in groupby(text, key=str.isalnum):
+        if not word:
+            continue
+        run = "".join(run)
+        for size, salt in [(len(run), 0), *((k, k) for k in (3, 4, 5, 6) if k < len(run))]:
+            h = sum(ord(c) * pow(0x9E3779B97F4A7C15, at, 1 << 64) for at, c in enumerate(run[:size])) % (1 << 64)
+            h = (h + salt) * 0xBF58476D1CE4E5B9 % (1 << 64)
+            found.add(((h ^ h >> 29) * 0x94D049BB133111EB % (1 << 64)) >> 44)
+    return found
+
+
+def plain_fit(rows, before, y, order, rate=0.2, l1=4.0, l2=0.5):
+    """FTRL-proximal, a coordinate at a time, in the given order of rows."""
+    z, n, dense = {}, {}, [0.0] * len(before[0])
+    bias = math.log(sum(y) / (len(y) - sum(y)))
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((1 + math.sqrt(n[i])) / rate + l2)
+    for k in order:
+        w = {i: weight(i) for i in rows[k]}
+        g = 1 / (1 + math.exp(-(sum(w.values()) + sum(a * b for a, b in zip(before[k], dense)) + bias))) - y[k]
+        for i in rows[k]:
+            z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / rate * w[i]
+            n[i] = n.get(i, 0.0) + g * g
+        dense = [d - 0.05 * (g * x + 0.01 * d) for d, x in zip(dense, before[k])]
+        bias -= 0.01 * g
+    return {i: weight(i) for i in z}, dense, bias
+
+
+def test_chain_matches_a_plain_one():
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(["vile", "nasty", "kind"] if k % 3 == 0 else ["green", "kind", "Table-top", "Ñandú"], k=rng.randrange(4, 30))) for k in range(120)]
+    y = np.array([[k % 2, k % 3 == 0] for k in range(120)], float)
+    rows = toxicity._rows(*word_features(Texts.of(texts), toxicity.BITS), len(texts))
+    sets = [hashed_features(t) for t in texts]
+    assert [set(rows.row(k).tolist()) for k in range(120)] == sets
+    shuffled = np.random.default_rng(7)
+    order = [int(k) for _ in range(4) for k in shuffled.permutation(120)]
+    chain = toxicity.fit_chain(rows, y)
+    before, models = [[] for _ in texts], []
+    fold = np.random.default_rng(11).permutation(120) % 3
+    for c in range(2):
+        models.append(plain_fit(sets, before, y[:, c], order))
+        if c == 0:
+            unseen = [0.0] * 120
+            for f in range(3):
+                inside = [k for k in range(120) if fold[k] != f]
+                again = np.random.default_rng(7)
+                w, _, bias = plain_fit([sets[k] for k in inside], [[]] * len(inside), y[inside, 0], [int(k) for _ in range(4) for k in again.permutation(len(inside))])
+                for k in range(120):
+                    if fold[k] == f:
+                        unseen[k] = 1 / (1 + math.exp(-(sum(w.get(i, 0.0) for i in sets[k]) + bias)))
+            before = [[u] for u in unseen]
+    found = chain.probabilities(rows)
+    for k in range(120):
+        first = 1 / (1 + math.exp(-(sum(models[0][0].get(i, 0.0) for i in sets[k]) + models[0][2])))
+        second = 1 / (1 + math.exp(-(sum(models[1][0].get(i, 0.0) for i in sets[k]) + models[1][1][0] * first + models[1][2])))
+        assert np.allclose(found[k], [first, second], atol=1e-9)
+
+
+def test_an_earlier_category_moves_the_decision(spark):
+    docs, learn, _ = unseen(spark)
+    chain = toxicity.train(docs, toxicity.categorised(learn), toxicity.CATEGORIES)
+    assert abs(chain.models[1].dense[0]) > 1e-3
+    rows = toxicity._rows(*word_features(Texts.of(["some plain words"]), toxicity.BITS), 1)
+    low, high = (chain.models[1].predict(rows, np.array([[p]]))[0] for p in (0.0, 1.0))
+    assert low != high
 
 
 def test_quality_held_out(spark):
