@@ -5,23 +5,28 @@ against itself, so that a score says how much of an item's weight a passage cove
 a posting list knows its largest impact in each. A passage is a window of twice the longest item's words, at half its
 length from the next, so that every item lies whole in a window. Block-max WAND retrieves all items above the
 threshold; its test of a block's bound is first made for many passages at once, and only passages with a block that can
-hold such an item are walked. A retrieved item is verified on the passage's words: which share of the five-word shingles of its
-question (all sentences but the last) and of its answer (the last sentence) occur there.
+hold such an item are walked. A retrieved item is verified on the passage's words: of its question and of its answer, each by itself, the
+given share of the five-word shingles must occur there. The answer is the run of last sentences that has five words or more; an item that
+leaves fewer than five words before it is all question. So a text with a whole question but another answer is clean.
 
 The index goes to the executors with the function. ``batch_chars`` bounds the items of one index; a larger benchmark is
-dealt by hash to several, each of which scans the documents. Documents are only mapped: no shuffle.
+dealt by hash of the item to several, built one after another and kept in the shared folder, each of which scans the documents. Frequencies of
+words, lengths and windows are those of the whole benchmark, so results do not depend on the number of indexes. Documents are only
+mapped: no shuffle.
 
 Nulls and odd rows: null or wordless items are never found; an item or part of fewer than five words is one shingle.
-Null and wordless texts contain nothing. Null and repeated ids are passed through; a document row has one result row
-for each item found in it, that of its best passage. Extra columns are ignored (``leaks``) or kept (``keep_clean``).
+Repeated items are one. Null and wordless texts contain nothing; a very long text is scanned whole, alone in its slice. Null and
+repeated document ids are passed through; a document row has one result row for each item_id found in it, that of its best passage
+(ties: the first), and one for each item without an id. Extra columns are ignored (``leaks``) or kept (``keep_clean``).
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from math import log
 
@@ -30,7 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.files import make_dir, opened
 from graphloom.llm.hashed_text import slices
+from graphloom.scratch import materialise, new_path
 
 WORD = re.compile(r"[^\W_]+")
 SENTENCE_END = re.compile(r"(?<=[.?!])\s+|\n+")
@@ -65,6 +72,32 @@ class Postings:
                 self.block_most.append(impact)
 
 
+def parts(text: str, least: int = 5) -> tuple[list[str], list[str]]:
+    """The words of an item's question and of its answer."""
+    sentences = [w for s in SENTENCE_END.split(text) if (w := words(s))]
+    at, n = len(sentences), 0
+    while at and n < least:
+        at -= 1
+        n += len(sentences[at])
+    question, answer = sum(sentences[:at], []), sum(sentences[at:], [])
+    return (question, answer) if len(question) >= least else (question + answer, [])
+
+
+@dataclass
+class Stats:
+    """Of all items with a word: how many there are, their mean and largest length, and in how many each word is."""
+
+    items: int
+    mean: float
+    longest: int
+    df: dict[str, int]
+
+    @classmethod
+    def of(cls, items: list[list[str]]) -> Stats:
+        lengths = [len(w) for w in items if w]
+        return cls(len(lengths), sum(lengths) / max(1, len(lengths)), max(lengths, default=1), Counter(x for w in items for x in set(w)))
+
+
 @dataclass
 class Found:
     item_id: int | None
@@ -76,19 +109,20 @@ class Found:
 class Index:
     """The inverted index of items [(item_id, text)]."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], k1: float = 1.2, b: float = 0.75, block: int = 4, wide: int = 64, shingle_words: int = 5) -> None:
-        items = [(i, t, w) for i, t in items if (w := words(t))]
+    def __init__(
+        self, items: list[tuple[int | None, str | None]], stats: Stats | None = None, k1: float = 1.2, b: float = 0.75, block: int = 4, wide: int = 64, shingle_words: int = 5
+    ) -> None:
+        items = [(i, t, w) for i, t in dict.fromkeys(items) if (w := words(t))]
+        stats = stats or Stats.of([w for *_, w in items])
         self.ids = [i for i, *_ in items]
         self.k = shingle_words
-        self.parts = [tuple(shingles(words(p), shingle_words) for p in self._halves(t)) for _, t, _ in items]
-        self.longest = max((len(w) for *_, w in items), default=1)
-        df = Counter(x for *_, w in items for x in set(w))
-        self.term = {x: n for n, x in enumerate(sorted(df))}
-        mean = sum(len(w) for *_, w in items) / max(1, len(items))
+        self.parts = [tuple(shingles(p, shingle_words) for p in parts(t, shingle_words)) for _, t, _ in items]
+        self.longest, df, mean = stats.longest, stats.df, stats.mean
+        self.term = {x: n for n, x in enumerate(sorted({x for *_, w in items for x in w}))}
         lists: list[tuple[list[int], list[float]]] = [([], []) for _ in self.term]
         for n, (*_, w) in enumerate(items):
             weight = {
-                x: log(1 + (len(items) - df[x] + 0.5) / (df[x] + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(w) / mean)) for x, tf in Counter(w).items()
+                x: log(1 + (stats.items - df[x] + 0.5) / (df[x] + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(w) / mean)) for x, tf in Counter(w).items()
             }
             whole = sum(weight.values())
             for x, y in weight.items():
@@ -103,11 +137,6 @@ class Index:
         self.row_block = np.array([x for r, _ in rows for x in r], np.int64)
         self.row_most = np.array([x for _, r in rows for x in r])
 
-    @staticmethod
-    def _halves(text: str) -> tuple[str, str]:
-        sentences = [s for s in SENTENCE_END.split(text) if words(s)]
-        return (" ".join(sentences[:-1]), sentences[-1]) if len(sentences) > 1 else (text, "")
-
     def retrieve(self, terms: list[int], least: float) -> list[tuple[int, float]]:
         """All (item, score) with a score of ``least`` or more, by block-max WAND."""
         slack = least - 1e-9
@@ -163,7 +192,7 @@ class Index:
         terms = max(1, len(self.term))
         pairs = np.unique(np.concatenate([window[known] * terms + ids[known], (window[two] - 1) * terms + ids[two]]))
         at, term = pairs // terms, pairs % terms
-        best: list[dict[int, Found]] = [{} for _ in lists]
+        best: list[dict[tuple, Found]] = [{} for _ in lists]
         for w in self._hopeful(at, term, int(windows.sum()), least):
             lo, hi = np.searchsorted(at, [w, w + 1])
             hits = self.retrieve(term[lo:hi].tolist(), least)
@@ -192,7 +221,7 @@ class Index:
         np.maximum.at(most, found[~wide] // self.blocks, bound[~wide] + anywhere[found[~wide] // self.blocks])
         return np.flatnonzero(most >= least - 1e-9)
 
-    def _verify(self, passage: list[str], hits: list[tuple[int, float]], overlap: float, best: dict[int, Found]) -> None:
+    def _verify(self, passage: list[str], hits: list[tuple[int, float]], overlap: float, best: dict[tuple, Found]) -> None:
         have: dict[int, set[tuple[str, ...]]] = {}
 
         def share(part: set[tuple[str, ...]]) -> int:
@@ -205,9 +234,11 @@ class Index:
 
         for item, score in hits:
             question, answer = self.parts[item]
-            q, a = share(question), share(answer)
-            if (q + a) / (len(question) + len(answer)) >= overlap and (item not in best or score > best[item].score):
-                best[item] = Found(self.ids[item], score, q / max(1, len(question)), a / len(answer) if answer else 1.0)
+            q, a = share(question) / len(question), share(answer) / len(answer) if answer else 1.0
+            # items without an id are told apart by their place
+            key = (False, self.ids[item]) if self.ids[item] is not None else (True, item)
+            if q >= overlap and a >= overlap and (key not in best or score > best[key].score):
+                best[key] = Found(self.ids[item], score, q, a)
 
 
 def _moved(cursors: list, n: int, to: int) -> list:
@@ -219,13 +250,58 @@ def _moved(cursors: list, n: int, to: int) -> list:
     return [c for c in cursors if c[0] is not None]
 
 
-def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", batch_chars: int = 20_000_000) -> list[Index]:
-    """One index for each batch of items."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
+def _in_order(rows: list) -> list[tuple[int | None, str | None]]:
+    return sorted(((r.item_id, r.text) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
+
+
+def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", batch_chars: int = 20_000_000) -> list[Callable[[], Index]]:
+    """One index for each batch of items, as functions that give it. The driver holds one batch and its words at a time."""
+    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     batches = max(1, -(-total // batch_chars))
-    parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(int(batches))) == k).collect() for k in range(batches)]
-    return [Index(sorted(((r.item_id, r.text) for r in p), key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))) for p in parts]
+    if batches == 1:
+        index = Index(_in_order(items.collect()))
+        return [lambda: index]
+    dealt = materialise(items.withColumn("batch", F.pmod(F.xxhash64(F.coalesce(F.col("item_id").cast("string"), "text")), F.lit(int(batches))).cast("int")), "benchmark")
+
+    def spelled(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in frames:
+            lists = [words(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in lists], pa.int64()), pa.array([sorted(set(w)) for w in lists], pa.list_(pa.string()))], ["batch", "n", "terms"])
+
+    told = materialise(dealt.select("batch", "text").mapInArrow(spelled, "batch int, n long, terms array<string>"), "benchmark-words").where("n > 0")
+    sizes = told.agg(F.count("*").alias("items"), F.sum("n").alias("n"), F.max("n").alias("longest")).first()
+    uses = told.select("batch", F.explode("terms").alias("term"))
+    df = materialise(uses.distinct().join(uses.groupBy("term").count(), "term"), "benchmark-frequencies")
+    folder = new_path(benchmark.sparkSession, "benchmark-indexes")
+    make_dir(folder)
+    found = []
+    for k in range(batches):
+        frequencies = {r.term: r["count"] for r in df.where(F.col("batch") == k).select("term", "count").toLocalIterator()}
+        stats = Stats(sizes["items"], (sizes["n"] or 0) / max(1, sizes["items"]), sizes["longest"] or 1, frequencies)
+        fs, path = opened(f"{folder}/{k}")
+        with fs.open_output_stream(path) as out:
+            out.write(pickle.dumps(Index(_in_order(dealt.where(F.col("batch") == k).collect()), stats)))
+        found.append(_Kept(f"{folder}/{k}"))
+    return found
+
+
+@dataclass
+class _Kept:
+    """An index in the shared folder; read by the first call in a process."""
+
+    path: str
+    index: Index | None = None
+
+    def __call__(self) -> Index:
+        if self.index is None:
+            fs, path = opened(self.path)
+            with fs.open_input_stream(path) as f:
+                self.index = pickle.loads(f.read())
+        return self.index
+
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "index": None}
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.6, overlap: float = 0.8) -> DataFrame:
@@ -234,8 +310,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     ddl = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
 
-    def through(index: Index):
+    def through(of: Callable[[], Index]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = of()
             for b in batches:
                 ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
                 rows = []
@@ -257,8 +334,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", le
     """The documents, all columns, that contain no test item."""
     k = docs.columns.index(text_col)
 
-    def through(index: Index):
+    def through(of: Callable[[], Index]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = of()
             for b in batches:
                 texts = b.column(k).to_pylist()
                 yield b.filter(pa.array([not f for part in slices(texts) for f in index.scan(texts[part], least, overlap)], pa.bool_()))
