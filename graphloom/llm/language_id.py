@@ -1,13 +1,15 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training takes at most about ``train_docs`` labelled documents (chosen by hash of their id; the bound is the only
-sampling here), counts their n-grams per language in a few tasks, and smooths the counts into a matrix of
-log-probabilities, buckets by languages. The matrix goes to the executors with the function; scoring reads each whole
+Training takes at most about ``train_docs`` labelled documents of each language (chosen by hash of their id; the bound is the
+only sampling here, so a rare language keeps all of its documents), counts their n-grams in a few tasks, adds the counts of a
+language up in one, and smooths them there into log-probabilities. Priors come from all labelled documents. The driver gets one column of
+the matrix, buckets by languages, for each language. The matrix goes to the executors with the function; scoring reads each whole
 text once, gathers a row per n-gram and adds them up between the texts' offsets, a bounded slice of texts at a time.
 
 Nulls and odd rows: a null text, or one without a letter, is ``und`` with score 0. A null lang or doc_id never
-trains; a null doc_id counts as held out. Repeated rows are scored each. Without any labelled document every text is
-``und``. Ties between languages go to the first in order. Extra columns are ignored; an empty table gives no rows.
+trains; a null doc_id counts as held out. Repeated rows are scored each. A very long text is scored whole, alone in its slice.
+Without any labelled document every text is ``und``. Ties between languages go to the first in order. Extra columns are ignored, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,43 +51,48 @@ def held_out(id_col: str, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds, F.lit(0)) == 0
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 20_000, tasks: int = 12, alpha: float = 0.5) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 5_000, tasks: int = 12, alpha: float = 0.5) -> Model:
     """Naive Bayes from the documents that aren't held out."""
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    total = labelled.select(id_col).count()
-    if total > train_docs:
-        labelled = labelled.where(F.pmod(F.xxhash64(id_col, F.lit(4)), F.lit(1_000_000)) < int(1_000_000 * train_docs / total))
+    labelled = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    docs_of = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    langs = sorted(docs_of)
+    if not langs:
+        return Model([UNKNOWN], np.zeros(1), [np.zeros(((1 << BITS) + 1, 1), np.float32) for _ in SIZES])
+    share = F.element_at(F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(1_000_000 * min(1.0, train_docs / docs_of[lang])))]), F.col("lang"))
+    picked = labelled.where(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(1_000_000)) < share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        docs_of: dict[str, int] = {}
         for b in batches:
-            langs = np.array(b.column(0).to_pylist(), object)
+            own_langs = np.array(b.column(0).to_pylist(), object)
             texts = np.array(b.column(1).to_pylist(), object)
-            for lang in set(langs):
-                own = texts[langs == lang].tolist()
-                docs_of[lang] = docs_of.get(lang, 0) + len(own)
+            for lang in set(own_langs):
+                own = texts[own_langs == lang].tolist()
                 sums = seen.setdefault(lang, np.zeros((len(SIZES), 1 << BITS), np.int64))
                 for part in slices(own):
                     t = Texts.of(own[part])
                     for row, n in zip(sums, SIZES, strict=True):
                         row += np.bincount(ngrams(t, n, BITS), minlength=(1 << BITS) + 1)[:-1]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(seen), pa.string()), pa.array([docs_of[x] for x in seen], pa.int64()), pa.array([x.tobytes() for x in seen.values()], pa.binary())], ["lang", "docs", "counts"]
-        )
-
-    parts = labelled.select(lang_col, text_col).repartition(tasks).mapInArrow(count, "lang string, docs long, counts binary").collect()
-    langs = sorted({r.lang for r in parts})
-    if not langs:
-        return Model([UNKNOWN], np.zeros(1), [np.zeros(((1 << BITS) + 1, 1), np.float32) for _ in SIZES])
-    sums = np.zeros((len(langs), len(SIZES), 1 << BITS))
-    prior = np.zeros(len(langs))
-    for r in parts:
-        sums[langs.index(r.lang)] += np.frombuffer(r.counts, np.int64).reshape(len(SIZES), -1)
-        prior[langs.index(r.lang)] += r.docs
-    logs = np.log(sums + alpha) - np.log(sums.sum(axis=2, keepdims=True) + alpha * sums.shape[2])
-    padded = np.concatenate([logs, np.zeros((*logs.shape[:2], 1))], axis=2).transpose(1, 2, 0)
-    return Model(langs, np.log(prior / prior.sum()), [np.ascontiguousarray(x, np.float32) for x in padded])
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([x.tobytes() for x in seen.values()], pa.binary())], ["lang", "counts"])
+
+    def smooth(own: pa.Table) -> pa.Table:
+        sums = np.zeros((len(SIZES), 1 << BITS))
+        for c in own.column("counts"):
+            sums += np.frombuffer(c.as_py(), np.int64).reshape(len(SIZES), -1)
+        logs = np.log(sums + alpha) - np.log(sums.sum(axis=1, keepdims=True) + alpha * sums.shape[1])
+        return pa.table({"lang": [own.column("lang")[0].as_py()], "logs": pa.array([logs.astype(np.float32).tobytes()], pa.binary())})
+
+    counted = picked.select("lang", "text").repartition(tasks).mapInArrow(count, "lang string, counts binary")
+    held = {r.lang: r.logs for r in counted.groupBy("lang").applyInArrow(smooth, "lang string, logs binary").toLocalIterator()}
+    # a language whose documents all fall outside a sample knows no n-gram
+    flat = np.full((len(SIZES), 1 << BITS), -np.log(1 << BITS), np.float32).tobytes()
+    matrix = [np.zeros(((1 << BITS) + 1, len(langs)), np.float32) for _ in SIZES]
+    for k, lang in enumerate(langs):
+        for rows, own in zip(matrix, np.frombuffer(held.get(lang, flat), np.float32).reshape(len(SIZES), -1), strict=True):
+            rows[:-1, k] = own
+    prior = np.array([docs_of[lang] for lang in langs], float)
+    return Model(langs, np.log(prior / prior.sum()), matrix)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

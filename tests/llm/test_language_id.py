@@ -1,8 +1,10 @@
+import random
 import zlib
 from collections import Counter
 from math import exp, log
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from graphloom.llm import language_id
 from graphloom.llm.hashed_text import Texts, ngrams
@@ -39,9 +41,20 @@ def test_matches_plain_naive_bayes(spark):
         assert langs[0] == best and np.isclose(scores[0], 1 / sum(exp(v - total[best]) for v in total.values()), atol=1e-4)
 
 
+def test_a_rare_language_is_learnt_whole(spark):
+    rng = random.Random(1)
+    rows = [(k, " ".join(rng.choices(["alpha", "beta", "gamma"], k=6)), "xx") for k in range(3000)]
+    rows += [(5000 + k, " ".join(rng.choices(["čšž", "říz", "ůň"], k=6)), "yy") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, train_docs=50)
+    used = {x: sum(zlib.crc32(str(k).encode()) % 5 != 0 for k, _, lang in rows if lang == x) for x in ("xx", "yy")}
+    assert model.langs == ["xx", "yy"] and np.allclose(np.exp(model.prior), [used["xx"] / sum(used.values()), used["yy"] / sum(used.values())])
+    assert model.score(["říz ůň", "gamma beta"])[0] == ["yy", "xx"]
+
+
 def test_odd_rows(spark):
     rows = [(1, "the cat sat", "en"), (2, None, "en"), (3, "", None), (4, "123 !!", "fr"), (None, "le chat", "fr"), (6, "le chat noir", "fr"), (6, "le chat noir", "fr"), (7, "a" * 300_000, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(7) for c in ("lang_pred", "score", "held_out", "id", "counts")})
     got = {(r.doc_id): r for r in language_id.identify(docs).collect()}
     assert got[2].lang_pred == got[3].lang_pred == got[4].lang_pred == "und" and got[2].score == 0
     assert got[None].held_out and got[6].lang_pred in ("en", "fr") and got[7].score > 0
