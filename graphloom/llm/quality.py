@@ -3,12 +3,14 @@
 One weight vector over hashed tokens, token endings and repetitions is shared by all grades; ordered thresholds cut
 its score into grades: P(grade <= k) = sigmoid(threshold_k - score). The thresholds are a first value plus positive
 steps, so they keep their order in training. Training (Adam, whole batches) runs on the driver over at most
-``train_docs`` documents of each grade, chosen by hash; that bound is the only sampling. All documents are scored whole in one map.
+``train_docs`` documents of each grade, chosen by hash; that bound is the only sampling. Ratings with more than
+``most_grades`` values are cut into as many bands of about equal size, each graded by its mean. All documents are scored whole in one map.
 
 Nulls and odd rows: a null text, or one without a token, is never selected: its tail probability is 0 and its
-expected grade the lowest. Null ratings do not train; a document rated twice has the larger rating. Null or repeated
-doc_ids are scored row by row. With fewer than two grades there is nothing to tell apart: the tail probability is 1
-for every text with a token. Extra columns are ignored; an empty table gives no rows.
+expected grade the lowest. Null and NaN ratings do not train; a document rated twice has the larger rating. Null or repeated
+doc_ids and repeated rows are scored row by row. A tail probability that ties with the threshold selects. A very long text is scored whole, alone
+in its slice. With fewer than two grades there is nothing to tell apart: the tail probability is 1 for every text with a token.
+Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ BITS = 16
 
 @dataclass
 class Model:
-    grades: list[int]
+    grades: list[float]
     weights: np.ndarray
     thresholds: np.ndarray
 
@@ -47,7 +49,7 @@ class Model:
         return [expected, tail]
 
 
-def fit(owner: np.ndarray, ids: np.ndarray, values: np.ndarray, grade: np.ndarray, grades: list[int], steps: int = 200, rate: float = 0.1, l2: float = 1e-5) -> Model:
+def fit(owner: np.ndarray, ids: np.ndarray, values: np.ndarray, grade: np.ndarray, grades: list[float], steps: int = 200, rate: float = 0.1, l2: float = 1e-5) -> Model:
     """Maximum likelihood of the cumulative link model; ``grade`` numbers the grades from 0."""
     n, k = len(grade), len(grades)
     if k < 2 or not n:
@@ -85,22 +87,28 @@ def fit(owner: np.ndarray, ids: np.ndarray, values: np.ndarray, grade: np.ndarra
 
 
 def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality", train_docs: int = 2000, most_grades: int = 20) -> Model:
-    rated = ratings.where(F.col(id_col).isNotNull() & F.col(grade_col).isNotNull()).groupBy(id_col).agg(F.max(grade_col).cast("int").alias("__grade"))
+    value = F.col(grade_col).cast("double")
+    rated = ratings.where(F.col(id_col).isNotNull() & value.isNotNull() & ~F.isnan(value)).groupBy(F.col(id_col).alias("__id")).agg(F.max(value).alias("__grade"))
     grades = sorted(r[0] for r in rated.select("__grade").distinct().limit(most_grades + 1).collect())
     if len(grades) > most_grades:
-        raise ValueError(f"{grade_col} has more than {most_grades} grades")
+        cuts = sorted(set(rated.agg(F.percentile_approx("__grade", [k / most_grades for k in range(1, most_grades)], 10_000)).first()[0]))
+        band = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("__grade")))
+        banded = rated.withColumn("__band", band)
+        means = {r["__band"]: r.m for r in banded.groupBy("__band").agg(F.avg("__grade").alias("m")).collect()}
+        grades = sorted(means.values())
+        rated = banded.select("__id", F.element_at(F.create_map(*[F.lit(x) for pair in means.items() for x in pair]), F.col("__band")).alias("__grade"))
     if not grades:
-        return Model([0], np.zeros(1 << BITS), np.zeros(0))
-    picked = F.broadcast(sample_ids(rated.withColumnRenamed(id_col, "__id"), "__id", F.col("__grade"), grades, train_docs, 5))
+        return Model([0.0], np.zeros(1 << BITS), np.zeros(0))
+    picked = F.broadcast(sample_ids(rated, "__id", F.col("__grade"), grades, train_docs, 5))
     narrow = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(picked, "__id").select("__grade", "__text")
-    schema = pa.schema([("grade", pa.int32()), ("ids", pa.list_(pa.int32())), ("vals", pa.list_(pa.float32()))])
+    schema = pa.schema([("grade", pa.float64()), ("ids", pa.list_(pa.int32())), ("vals", pa.list_(pa.float32()))])
 
     def features(texts: list[str | None]) -> list[list]:
         owner, ids, values = style_features(Texts.of(texts), BITS)
         cuts = np.searchsorted(owner, np.arange(1, len(texts)))
         return [np.split(ids.astype(np.int32), cuts), np.split(values.astype(np.float32), cuts)]
 
-    table = mapped(narrow, schema, "grade int, ids array<int>, vals array<float>", features).toArrow()
+    table = mapped(narrow, schema, "grade double, ids array<int>, vals array<float>", features).toArrow()
     if not len(table):
         return Model(grades[:1], np.zeros(1 << BITS), np.zeros(0))
     ids, vals = (table.column(c).combine_chunks() for c in ("ids", "vals"))
@@ -109,6 +117,11 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     return fit(owner, ids.values.to_numpy(), vals.values.to_numpy().astype(float), grade, grades)
 
 
+def graded(labels: DataFrame) -> DataFrame:
+    """The 0/1 flags as one rating: 0 toxic, 1 of low quality, 2 good."""
+    return labels.withColumn("quality", F.when(F.col("toxic") == 1, 0).otherwise(F.col("quality") + 1))
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3) -> DataFrame:
     """(doc_id, expected_grade, p_top, selected) of every document."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -117,5 +130,5 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def rate(docs: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Train on the ratings, rate all documents."""
-    return predict(docs, train(docs, ratings))
+    """Train on the labels as three grades, rate all documents."""
+    return predict(docs, train(docs, graded(ratings)))

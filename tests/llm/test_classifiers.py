@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 from itertools import groupby
 
 import numpy as np
@@ -101,11 +102,56 @@ def test_an_earlier_category_moves_the_decision(spark):
 
 def test_quality_held_out(spark):
     docs, learn, test = unseen(spark)
-    rows = quality.rate(docs, learn).join(test, "doc_id").select("quality", "selected", "expected_grade").collect()
-    kept = np.mean([r.selected for r in rows if r.quality])
-    wrong = np.mean([r.selected for r in rows if not r.quality])
-    print("quality", kept, wrong)
-    assert kept > 0.95 and wrong < 0.25
+    rows = quality.rate(docs, learn).join(test, "doc_id").select("quality", "toxic", "selected", "expected_grade").collect()
+    good = lambda r: r.quality and not r.toxic
+    kept = np.mean([r.selected for r in rows if good(r)])
+    wrong = np.mean([r.selected for r in rows if not r.quality and not r.toxic])
+    mean = [np.mean([r.expected_grade for r in rows if f(r)]) for f in (lambda r: r.toxic, lambda r: not r.toxic and not r.quality, good)]
+    print("quality", kept, wrong, np.mean([r.selected for r in rows if r.toxic]), mean)
+    assert kept > 0.95 and wrong < 0.25 and mean[2] == max(mean)
+
+
+def test_likelihood_is_maximal_and_scores_follow_the_formula():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["good", "fine"] if k % 3 else ["bad", "worse"], k=6) + rng.choices("abc", k=3)) for k in range(90)]
+    grade = np.array([(k % 3) if rng.random() < 0.8 else rng.randrange(3) for k in range(90)])
+    owner, ids, values = style_features(Texts.of(texts), quality.BITS)
+    model = quality.fit(owner, ids, values, grade, [0.0, 1.0, 2.5], steps=1500, rate=0.02, l2=1e-3)
+    used = sorted(set(ids.tolist()))
+    counts = Counter(grade.tolist())
+
+    def loss(w, cuts):
+        total = 0.0
+        for k in range(90):
+            s = sum(w[i] * v for i, v in zip(ids[owner == k].tolist(), values[owner == k]))
+            below = [0.0, *(1 / (1 + math.exp(s - c)) for c in cuts), 1.0]
+            total -= 90 / (3 * counts[grade[k]]) * math.log(below[grade[k] + 1] - below[grade[k]])
+        return total / 90 + 1e-3 / 2 * sum(w[i] ** 2 for i in used)
+
+    w, cuts = dict(enumerate(model.weights)), list(model.thresholds)
+    best = loss(w, cuts)
+    for i in used[:6]:
+        for step in (0.05, -0.05):
+            assert loss(w | {i: w[i] + step}, cuts) > best - 1e-4
+    for k in (0, 1):
+        for step in (0.05, -0.05):
+            assert loss(w, [c + step * (n == k) for n, c in enumerate(cuts)]) > best - 1e-4
+    expected, tail = model.score(texts)
+    for k in range(90):
+        s = sum(w[i] * v for i, v in zip(ids[owner == k].tolist(), values[owner == k]))
+        above = [1 / (1 + math.exp(c - s)) for c in cuts]
+        assert np.allclose([expected[k], tail[k]], [above[0] * 1.0 + above[1] * 1.5, above[1]], atol=1e-9)
+
+
+def test_ratings_of_any_value(spark):
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choices(["up"], k=1 + k % 40) + rng.choices(["down"], k=40 - k % 40)), k % 40 / 2) for k in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    ratings = spark.createDataFrame([(k, g) for k, _, g in rows] + [(None, 1.0), (7, None), (8, float("nan"))], "doc_id long, quality double")
+    model = quality.train(docs, ratings)
+    assert len(model.grades) == 20 and model.grades == sorted(model.grades) and (np.diff(model.thresholds) > 0).all()
+    few = quality.train(docs, ratings.where("quality in (2.5, 3, 10)"))
+    assert few.grades == [2.5, 3.0, 10.0]
 
 
 def test_ordinal_grades_keep_their_order():
