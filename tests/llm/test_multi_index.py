@@ -39,7 +39,7 @@ def test_whole_scan_is_exact_with_ties_and_blocks(spark):
     rows = [(k, [float(c) for c in v], "label") for k, v in enumerate(x)]
     bad = [(1000, None, ""), (1100, [0.0] * 7, ""), (1200, [1.0, None] + [0.0] * 5, ""), (1300, [float("nan")] * 7, ""), (1400, [float("inf")] * 7, ""), (1500, [1.0] * 3, ""), (None, [1.0] * 7, "")]
     frame = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, rank string")
-    got = found(multi_index.search(frame, frame.where("vec_id % 100 = 0"), centroids=5, scan_share=1.0, block_rows=20, block_queries=2))
+    got = found(multi_index.search(frame, frame.where("vec_id % 100 = 0"), centroids=5, scan_share=1.0, block_rows=20))
     truth = exact(np.arange(550), x.astype(float))
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in truth.items()}
     assert all(np.allclose([s for _, s in got[q]], [s for _, s in truth[q]], atol=1e-12) for q in truth)
@@ -51,6 +51,20 @@ def test_few_rows_repeats_and_empty(spark):
     assert multi_index.search(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_queries_of_another_length_take_no_part(spark):
+    rows = [(k, [float(k), 1.0, 2.0, 3.0]) for k in range(1, 30)] + [(100, [1.0, 2.0]), (200, [3.0, 4.0]), (300, [5.5, 1.0, 2.0, 3.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(multi_index.search(frame, frame.where("vec_id % 100 = 0")))
+    assert got.keys() == {300} and [i for i, _ in got[300]][:2] == [5, 6]
+
+
+def test_an_id_repeated_more_often_than_k(spark):
+    rows = [(0, [0.0, 1.0])] + [(7, [0.01 * j, 1.0]) for j in range(1, 60)] + [(k, [float(k), 1.0]) for k in range(10, 40)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(multi_index.search(frame, frame.where("vec_id = 0"), scan_share=1.0))
+    assert [i for i, _ in got[0]] == [7, *range(10, 19)]
+
+
 def test_walk_is_ordered_and_complete():
     rng = np.random.default_rng(0)
     a, b, n = rng.random(6), rng.random(5), rng.integers(0, 3, (6, 5))
