@@ -31,6 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -42,26 +43,34 @@ from graphloom.scratch import new_path
 
 MAGIC = b"GLTOK001"
 CHUNK_IDS = 1 << 16
-_SLICE_CHARS = 2_000_000
+_SLICE_BYTES = 4_000_000
+_GATHER = 1 << 18
 _RUN_OF_SPACE = re.compile(r"\s\s")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+_BLANK = {"", "\n", "\n\n"}
 #: Without the apostrophe, which can begin a token with letters.
 _PUNCTUATION = "".join(sorted(set(string.punctuation) - {"'"}))
 
 
+#: Stands for the ids of a word that is no token boundary's neighbour, so that its text is encoded whole.
+_ODD = b"?"
+
+
 class WordCache:
     """Encodes texts with a byte-level BPE, each distinct word once.
 
     A word's key is the word itself if a space precedes it, a line break and the word if a line break does, and two and the
-    word if it begins a text.
+    word if it begins a text. Words live for two generations of ``limit``: one that is met in its second is kept.
     """
 
-    def __init__(self, path: str, end_id: int, limit: int = 600_000) -> None:
+    def __init__(self, path: str, end_id: int, limit: int = 350_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], "<u4").tobytes()
         (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.limit = limit
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -78,11 +87,21 @@ class WordCache:
         data = ids.tobytes()
         return [data[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
 
+    def _remembered(self, new: set[str]) -> set[str]:
+        """Take words over from the generation before; those that it lacks."""
+        again = new & self.old.keys()
+        self.known.update((w, self.old[w]) for w in again)
+        return new - again
+
     def _learn(self, new: set[str]) -> None:
         """Add words; one that ends in punctuation behind a letter is learnt as two tokens' worth, so that a word is
         encoded once whatever follows it."""
+        new = self._remembered(new)
+        strange = {w for w in (new if _OTHER_SPACE.search(" ".join(new)) else new & _BLANK) if not (core := w.lstrip("\n")) or core[0].isspace() or core[-1].isspace() or _RUN_OF_SPACE.search(core)}
+        self.known.update(dict.fromkeys(strange, _ODD))
+        new -= strange
         cut = {w: core for w in new if (core := w.rstrip(_PUNCTUATION)) is not w and core[-1:].isalpha() and "<|" not in w}
-        whole = {w for w in new if w not in cut} | {c for c in cut.values() if c not in self.known}
+        whole = {w for w in new if w not in cut} | self._remembered({c for c in cut.values() if c not in self.known})
         tails = sorted({w[len(c) :] for w, c in cut.items()} - self.tails.keys())
         self.tails.update(zip(tails, self._encode(tails), strict=True))
         line = np.array([self.line], "<u4").tobytes()
@@ -96,23 +115,52 @@ class WordCache:
         for w, c in cut.items():
             self.known[w] = self.known[c] + self.tails[w[len(c) :]]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, the end id last, as little-endian uint32."""
-        words: list[list[str] | None] = []
-        for t in texts:
-            if not t or t[0].isspace() or t[-1].isspace() or _RUN_OF_SPACE.search(t):
-                words.append(None)
-            else:
-                w = t.replace("\n", " \n").split(" ")
-                w[0] = f"\n\n{w[0]}"
-                words.append(w)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id last, and how many each has."""
+        texts = pc.fill_null(texts, "")
+        lists = pc.split_pattern(pc.binary_join_element_wise("\n\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
+        coded = lists.flatten().dictionary_encode()
+        code, words = coded.indices.to_numpy(), _strings(coded.dictionary)
         if len(self.known) > self.limit:
-            self.known.clear()
+            self.known, self.old = {}, self.known
             self.tails.clear()
-        self._learn(set().union(*(w for w in words if w)).difference(self.known))
-        whole = iter(self._encode([t or "" for t, w in zip(texts, words, strict=True) if w is None]))
-        get = self.known.__getitem__
-        return [(next(whole) if w is None else b"".join(map(get, w))) + self.end for w in words]
+        self._learn(set(words).difference(self.known))
+        found = [self.known[w] for w in words]
+        odd = np.fromiter((x is _ODD for x in found), bool, len(found))
+        ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+        whole = np.zeros(len(texts), bool)
+        if odd.any():
+            hits = np.searchsorted(ends, np.flatnonzero(odd[code]), "right")
+            whole[hits] = True
+            code = code[~np.repeat(whole, np.diff(ends, prepend=0))]
+            ends = np.cumsum(np.where(whole, 0, np.diff(ends, prepend=0)))
+        # behind the words stand the end id and the texts that are encoded whole
+        alone = self._encode(texts.filter(pa.array(whole)).to_pylist()) if whole.any() else []
+        n = len(found)
+        found += [self.end, *alone]
+        last = np.repeat(ends, 1 + whole)
+        marks = np.full(len(last), n)
+        marks[np.cumsum(1 + whole)[whole] - 2] = n + 1 + np.arange(len(alone))
+        code = np.insert(code, last, marks)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool = np.frombuffer(b"".join(x if x is not _ODD else b"" for x in found), "<u4")
+        start = np.cumsum(size) - size
+        upto = np.cumsum(size[code])
+        ids = np.empty(upto[-1] if len(upto) else 0, "<u4")
+        for at in range(0, len(code), _GATHER):
+            some = code[at : at + _GATHER]
+            per = size[some]
+            stop = np.cumsum(per)
+            begin = upto[at] - per[0]
+            ids[begin : begin + stop[-1]] = pool[np.repeat(start[some] - stop + per, per) + np.arange(stop[-1])]
+        return ids, np.diff(upto[np.cumsum(np.diff(ends, prepend=0) + 1 + whole) - 1], prepend=0)
+
+
+def _strings(words: pa.Array) -> list[str]:
+    """The values of a column of texts, by way of one long one, which is faster."""
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "\0")[0].as_py() if len(words) else ""
+    found = joined.split("\0") if len(words) else []
+    return found if len(found) == len(words) else words.to_pylist()
 
 
 def pack(ids: np.ndarray, planes: str, level: int = 3) -> tuple[list[int], bytes]:
@@ -151,11 +199,12 @@ class FileWriter:
         self.ids: list[int | None] = []
         self.lengths: list[int] = []
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.ids.append(doc_id)
-        self.lengths.append(len(ids) // 4)
-        self.held.append(ids)
-        self.size += len(ids)
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Documents, their ids one after another."""
+        self.ids += doc_ids
+        self.lengths += lengths.tolist()
+        self.held.append(ids.tobytes())
+        self.size += 4 * len(ids)
         if self.size >= 4 * CHUNK_IDS * 4:
             self._flush(False)
 
@@ -201,16 +250,15 @@ def read_file(uri: str) -> Iterator[tuple[int | None, np.ndarray]]:
             yield doc_id, data[:n]
 
 
-def slices(texts: list[str | None], most_chars: int = _SLICE_CHARS) -> Iterator[slice]:
-    """Runs of texts of at most so many characters, or of one text."""
+def slices(texts: pa.Array, most_bytes: int = _SLICE_BYTES) -> Iterator[slice]:
+    """Runs of texts of at most so many bytes, or of one text."""
     at = size = 0
-    for k, t in enumerate(texts):
-        n = len(t or "")
-        if k > at and size + n > most_chars:
+    for k, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if k > at and size + n > most_bytes:
             yield slice(at, k)
             at, size = k, 0
         size += n
-    if texts:
+    if len(texts):
         yield slice(at, len(texts))
 
 
@@ -220,22 +268,22 @@ def write(
     """Write the documents under ``out``; (file, ids, documents) in ascending order of doc_id."""
     make_dir(out)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    order = ["doc_id", F.xxhash64("text"), "text"]
     files = max(1, -(-named.count() // rows_per_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uri, writer, words = f"{out}/ids-{uuid.uuid4().hex}.tok", None, None
         for b in batches:
-            ids, texts = (c.to_pylist() for c in b.columns)
+            ids, texts = b.column(0).to_pylist(), b.column(1)
             words = words or encoder()
             writer = writer or FileWriter(uri, planes)
             for part in slices(texts):
-                for doc_id, data in zip(ids[part], words.encode(texts[part]), strict=True):
-                    writer.add(doc_id, data)
+                writer.add(ids[part], *words.encode(texts[part]))
         if writer:
             n, rows = writer.close()
             yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "path": [uri], "n": [n], "docs": [rows]})
 
-    dealt = named.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = named.repartitionByRange(files, *order[:2]).sortWithinPartitions(*order)
     done = dealt.mapInArrow(run, "part long, path string, n long, docs long").collect()
     return [(r.path, r.n, r.docs) for r in sorted(done, key=lambda r: r.part)]
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -22,7 +23,17 @@ def plain(text):
 @given(st.lists(st.sampled_from(["a", "The", " ", "  ", "\n", "\t", "don't", "é", "12", "...", "日本", " ", "<|endoftext|>", "'s", "x_y", "dog.", "so,,", "$", "(a)", "_.", "5.", "²!", "'", " ", "\r\n"]), max_size=9))
 def test_words_encode_like_whole_texts(parts):
     text = "".join(parts)
-    assert np.frombuffer(WORDS.encode([text, "pad it"])[0], "<u4").tolist() == plain(text)
+    texts = ["pad it", text, None, text, "pad"]
+    ids, n = WORDS.encode(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [plain(t) for t in texts]
+
+
+def test_words_are_forgotten_and_learnt_again():
+    words = token_files.WordCache(PATH, 2, limit=3)
+    for texts in (["one two three four"], ["one five six,"], ["seven eight nine ten"], ["one two, five.", " odd  spaces "], ["six"]):
+        ids, n = words.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [plain(t) for t in texts]
+    assert len(words.known) + len(words.old) < 14
 
 
 @pytest.mark.parametrize("planes", ["bit", "byte"])
