@@ -11,7 +11,7 @@ header is found so; its body and END line are added where a match ends.
 The operator is a map over Arrow batches: no shuffle, no state between rows, memory bounded by a batch.
 
 Nulls and odd rows: a null text is read as empty, an empty text has no spans. Ids are passed through as they are,
-null or repeated. Very long texts are scanned whole, in linear time. Extra columns are ignored (``scan``) or kept
+null or repeated, and repeated rows are scanned each. Spans that tie in start are ordered by rule. Very long texts are scanned whole, in linear time. Extra columns are ignored (``scan``) or kept
 (``redact``). An empty table gives no rows.
 """
 

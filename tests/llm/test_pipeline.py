@@ -1,6 +1,7 @@
 import re
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from graphloom.llm import decontaminate, pieces, simhash
@@ -48,12 +49,34 @@ def test_run_gives_the_last_stage(spark):
     assert rows.columns == ["doc_id", "n_tokens", "ids_crc32", "lossless", "ids"] and rows.count() > 100
 
 
-def test_one_row_of_each_component_stays(spark):
-    long = "one two three four five six"
-    rows = [(3, long, "a"), (2, long.upper(), "b"), (2, long, "c"), (2, "other words entirely in this row", "d"), (None, long, "e"), (None, "nobody knows this row at all", "f"), (None, "nobody knows this row at all", "g"), (9, None, "h"), (8, "", "i")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
-    got = simhash.keep_one(docs)
-    assert got.columns == docs.columns
-    kept = sorted((r.doc_id or 0, (r.text or "").lower()) for r in got.collect())
-    assert kept in ([(0, "nobody knows this row at all"), (2, text), (8, "")] for text in (long, "other words entirely in this row"))
-    assert simhash.keep_one(docs.limit(0)).count() == 0
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    item = "which of the seven old harbours lies furthest north of the grey island? the harbour of the two white towers does so."
+    long = "quiet words about rivers and " + " ".join(f"stone{k % 977} river{k % 1013}" for k in range(60_000))
+    rows = [
+        (1, None, "en", "a", 0), (2, "", "en", "a", 0), (None, "nobody knows this row at all", None, None, None), (None, "nobody knows this row at all", None, None, None),
+        (4, long, "en", "b", None), (5, f"before it. {item} and behind", "en", "b", 1), (6, "the key is password = 'hunter22' they said to us", "en", "c", 48),
+        (7, "one two three four five six", "en", "c", 27), (7, "one two three four five six", "en", "c", 27), (8, "ONE two three four five six", "de", "c", 27), (9, "idiot trash idiot trash", "en", "c", 23),
+    ]
+    # too few labels to learn a word from: nothing is toxic
+    rows += [(k, " ".join(f"filler{k * 37 % 101}x{j}" for j in range(12)), "en", "d", None) for k in range(100, 130)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("fp", "score", "__w", "_", "is_toxic", "spans", "item_id"):
+        docs = docs.withColumn(c, F.lit("kept"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(k, 1, 0) for k in range(100, 130)] + [(9, 0, 1), (7, 1, 0), (6, None, 0), (None, 1, 1), (4, 1, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (1, item), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = corpus_pipeline.materialise(stage(spark, at, str(tmp_path)), "odd")
+        assert at.columns == docs.columns and {r.fp for r in at.collect()} == {"kept"}
+    left = sorted((r.doc_id or 0, r.text) for r in at.collect() if (r.doc_id or 0) < 7)
+    assert {r.doc_id for r in at.collect() if (r.doc_id or 0) >= 7} == {7, 9, *range(100, 130)}
+    # 7 and 8 are alike, 1 and 2 are both without words
+    assert left == [(0, "nobody knows this row at all"), (1, None), (4, long), (6, "the key is [ASSIGN]' they said to us")]
+    coded = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(coded) == at.count() and all(r.lossless for r in coded)
+    assert {r.doc_id: r.n_tokens for r in coded}[1] == 0
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/empty/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0

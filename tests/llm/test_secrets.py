@@ -3,6 +3,7 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from graphloom.llm import secrets
 
@@ -55,7 +56,9 @@ def test_scan_and_redact(spark):
         base = [s for s in plain(t or "") if s.split(":")[0] in ("assign", "access", "hex")]
         r = got[i, hashlib.sha256(",".join(base).encode()).hexdigest()]
         assert r.spans == ",".join(plain(t or "")) and r.n_assign + r.n_access + r.n_hex == len(base)
-    clean = {(r.doc_id, r.spans): r.text for r in secrets.redact(docs).collect()}
+    extra = docs.withColumn("n_assign", F.lit(1)).withColumn("base_sha256", F.lit("b"))
+    assert secrets.redact(extra).columns == extra.columns and secrets.redact(docs.limit(0)).count() == 0
+    clean = {(r.doc_id, r.spans): r.text for r in secrets.redact(extra).collect()}
     assert clean[1, "x"] == "é [ASSIGN]' [ACCESS]" and clean[2, "y"] is None and clean[3, "w"] == "plain words"
     assert clean[4, ""] == "[HEX] [ASSIGN]"
     assert secrets.scan(docs.limit(0)).count() == 0
