@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graphloom.scratch import delete, new_path
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) of every node on an edge; component is the smallest node reachable.
 
     Self-loops, repeated edges and null ends are ignored; an empty edge table gives an empty result.
@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     a, b = F.col(src), F.col(dst)
     star = edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     before, last = None, None
-    for _ in range(max_rounds):
+    while True:
         path = new_path(spark, "components")
         _small_star(_large_star(star)).write.parquet(path)
         star = spark.read.parquet(path)
@@ -33,8 +33,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = star.select(F.col("v").alias("node")).distinct()
     return star.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))
