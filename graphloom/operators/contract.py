@@ -37,14 +37,19 @@ def _blank(c: str) -> Column:
     return F.trim(F.coalesce(c, F.lit(""))) == ""
 
 
+def _known(c: str, values: tuple[str, ...]) -> Column:
+    return F.coalesce(F.col(c).isin(*values), F.lit(False))
+
+
 def violations(g: Graph, owner_confident: bool = False, kinds: tuple[str, ...] = EDGE_KINDS) -> DataFrame:
-    """(rule, id, detail) of all breaches of R1 to R11."""
+    """(rule, id, detail) of all breaches of R1 to R11. Rule names and details are fixed values of the contract. A null type, kind
+    or evidence list is a breach like a wrong or an empty one."""
     items = g.items.select(F.col("id").alias("item_id"))
     ids = g.entities.select(F.col("id").alias("known")).distinct()
     e, ed = g.entities, g.edges
     out = [
         _said(_numbered(e, ["id"], ["place", "pos"]).where("__n > 1"), "R1_duplicate_id", "id", "duplicate entity ID"),
-        _said(e.where(~F.col("type").isin(*ENTITY_TYPES)), "R2_invalid_type", "id", F.concat(F.lit("unknown type "), "type")),
+        _said(e.where(~_known("type", ENTITY_TYPES)), "R2_invalid_type", "id", F.concat(F.lit("unknown type "), F.coalesce("type", F.lit("null")))),
         _said(e.where(_blank("label")), "R3_empty_label", "id", "empty label"),
         _said(e.where(~_blank("label") & (F.length("label") > LABEL_LIMIT)), "R3_label_too_long", "id", F.concat(F.lit("label length "), F.length("label"), F.lit(f" > {LABEL_LIMIT}"))),
         _said(e.join(g.mentions, e["id"] == g.mentions["entity_id"], "left_anti"), "R4_no_mentions", "id", "entity has no mentions"),
@@ -55,11 +60,11 @@ def violations(g: Graph, owner_confident: bool = False, kinds: tuple[str, ...] =
     out.append(_said(owners.where("n > 1"), "R5_multiple_owners", F.lit("graph"), F.concat("n", F.lit(" entities marked owner"))))
     out.append(_said(owners.where((F.col("n") == 0) & F.lit(owner_confident)), "R5_owner_missing", F.lit("graph"), "the owner is certain but no entity is marked"))
     for end in ("source", "target"):
-        out.append(_said(ed.join(ids, F.col(end) == F.col("known"), "left_anti"), f"R6_dangling_{end}", "id", F.concat(F.lit(f"{end} "), end, F.lit(" not in entities"))))
+        out.append(_said(ed.join(ids, F.col(end) == F.col("known"), "left_anti"), f"R6_dangling_{end}", "id", F.concat(F.lit(f"{end} "), F.coalesce(end, F.lit("null")), F.lit(" not in entities"))))
     out += [
         _said(ed.where("source = target"), "R6_self_loop", "id", "self-loop edge"),
-        _said(ed.where(~F.col("kind").isin(*kinds)), "R7_invalid_kind", "id", F.concat(F.lit("unknown edge kind "), "kind")),
-        _said(ed.where(F.size("evidence_item_ids") == 0), "R8_no_evidence", "id", "edge has no evidence items"),
+        _said(ed.where(~_known("kind", kinds)), "R7_invalid_kind", "id", F.concat(F.lit("unknown edge kind "), F.coalesce("kind", F.lit("null")))),
+        _said(ed.where(F.coalesce(F.size("evidence_item_ids"), F.lit(0)) <= 0), "R8_no_evidence", "id", "edge has no evidence items"),
     ]
     evidence = ed.select("id", F.explode("evidence_item_ids").alias("item_id")).join(items, "item_id", "left_anti")
     out.append(_said(evidence.groupBy("id").count(), "R8_unknown_evidence", "id", F.concat("count", F.lit(" evidence item_ids not in corpus"))))
@@ -111,8 +116,8 @@ def repair(g: Graph, kinds: tuple[str, ...] = EDGE_KINDS) -> tuple[Graph, DataFr
     done.append(g.edges.join(tied.select(F.col("id").alias("__id")), F.col("id") == F.col("__id"), "left_anti").select(F.lit("removed edge with dangling endpoint").alias("action"), "id"))
     done.append(tied.where("source = target").select(F.lit("removed self-loop edge").alias("action"), "id"))
     proper = tied.where("source <> target")
-    done.append(proper.where(~F.col("kind").isin(*kinds)).select(F.lit("removed edge with unknown kind").alias("action"), "id"))
-    proper = proper.where(F.col("kind").isin(*kinds))
+    done.append(proper.where(~_known("kind", kinds)).select(F.lit("removed edge with unknown kind").alias("action"), "id"))
+    proper = proper.where(_known("kind", kinds))
     real = proper.select("id", F.posexplode("evidence_item_ids").alias("k", "item_id")).join(items, "item_id", "left_semi")
     real = real.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "item_id"))), lambda x: x["item_id"]).alias("__real"))
     grounded = proper.join(real, "id").withColumn("evidence_item_ids", F.col("__real")).drop("__real")

@@ -144,7 +144,7 @@ def money(held: DataFrame, surfaces: DataFrame | None = None) -> Found:
     around = held.select("amount", "pos", F.posexplode(C.windows("body", C.amount_forms(F.col("amount")))).alias("k", "window"))
     if surfaces is not None:
         around = surfaces.select("amount", F.lit(-1).cast("long").alias("pos"), F.lit(0).alias("k"), F.col("surface").alias("window")).unionByName(around)
-    signs = around.withColumns({"code": C.currency_of(F.col("window")), "sign": C.currency_sign(F.col("window"))})
+    signs = around.withColumn("hit", C.currency_hit(F.col("window"))).select("*", "hit.code", "hit.sign")
     votes = signs.where("code is not null").groupBy("amount", "code").agg(F.count("*").alias("n"), F.min(F.struct("pos", "k")).alias("first"))
     tally = votes.groupBy("amount").agg(F.max_by("code", F.struct("n", -F.col("first.pos"), -F.col("first.k"))).alias("currency"), F.count("*").alias("codes"))
     evidence = signs.where("code is not null").groupBy("amount").agg(F.array_sort(F.collect_set("sign")).alias("currency_evidence"))

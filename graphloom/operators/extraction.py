@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 import hashlib
 import json
-import re
+import random
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import INVISIBLE
 from graphloom.operators.chunks import cache_key, full_text
+from graphloom.operators.components import connected_components
 from graphloom.schema import EXTRACTION, MENTION_TYPES, RELATION_TYPES
+from graphloom.scratch import materialise
 
 
 class Client(Protocol):
@@ -42,10 +44,11 @@ class CannedClient:
 
 
 class Retrying:
-    """A client whose passing errors are tried again after 2**n seconds; any other error with a 4xx status is raised at once."""
+    """A client whose passing errors are tried again after 2**n seconds and a random part of one more; any other error with a
+    4xx status is raised at once."""
 
-    def __init__(self, client: Client, tries: int = 3, sleep: Callable[[float], None] = time.sleep) -> None:
-        self.client, self.tries, self.sleep = client, tries, sleep
+    def __init__(self, client: Client, tries: int = 3, sleep: Callable[[float], None] = time.sleep, jitter: Callable[[], float] = random.random) -> None:
+        self.client, self.tries, self.sleep, self.jitter = client, tries, sleep, jitter
 
     def complete(self, system: str, user: str) -> str:
         for n in range(self.tries):
@@ -56,7 +59,7 @@ class Retrying:
                 passing = status is None and isinstance(error, (ConnectionError, TimeoutError)) or status == 429 or (status or 0) >= 500
                 if not passing or n + 1 == self.tries:
                     raise
-                self.sleep(2.0**n)
+                self.sleep(2.0**n + self.jitter())
         raise AssertionError("unreachable")
 
 
@@ -130,30 +133,65 @@ def verify(chunks: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame,
     return good(messages), good(mentions), good(relations), rejected
 
 
-def consolidated_topics(labels: list[str], least: float = 0.85) -> dict[str, str]:
-    """Each label's group: the first label, in order, that is alike. The order matters, so this runs over the list of
-    distinct labels, not over their uses."""
-    plain = lambda t: re.sub("[^a-z0-9 ]", "", t.lower().strip())
-    heads: list[tuple[str, str]] = []
-    group: dict[str, str] = {}
-    for label in sorted(set(labels)):
-        own = plain(label)
-        head = next((h for h, p in heads if difflib.SequenceMatcher(None, own, p).ratio() >= least), None)
-        if head is None:
-            heads.append((label, own))
-        group[label] = head or label
-    return group
+def topic_key(label: str = "topic"):
+    """A label as consolidation compares it."""
+    return F.regexp_replace(F.lower(F.trim(label)), "[^a-z0-9 ]", "")
 
 
-def item_topics(messages: DataFrame, most_labels: int = 20_000) -> DataFrame:
+def alike_topics(labels: DataFrame, least: float = 0.85) -> DataFrame:
+    """(a, b), a < b, of distinct labels (topic) whose keys have a matching ratio of ``least`` or more.
+
+    Pairs come from shared pieces of the keys, which loses none at 0.85: of M matched characters in blocks, neighbouring blocks have an
+    unmatched character between them, and those are at most 0.353 M; so a match of two or more has a block of two, one of seven or
+    more a block of three. Keys of ten or fewer characters share a pair, longer ones three characters. A frequent piece is a
+    skewed key of the join, which is split."""
+    if least < 0.85:
+        raise ValueError("pairs from shared pieces are complete from 0.85 on")
+    keyed = labels.select("topic", topic_key().alias("key")).withColumn("n", F.length("key"))
+    pieces = lambda size, few: F.when(few, F.transform(F.sequence(F.lit(1), F.col("n") - (size - 1)), lambda k: F.substr("key", k, F.lit(size))))
+    none = F.array().cast("array<string>")
+    held = F.array_distinct(
+        F.concat(F.coalesce(pieces(2, (F.col("n") >= 2) & (F.col("n") <= 10)), none), F.coalesce(pieces(3, F.col("n") >= 9), none), F.when(F.col("n") < 2, F.array(F.concat(F.lit("="), "key"))).otherwise(none))
+    )
+    long = keyed.select("topic", "key", "n", F.explode(held).alias("piece"))
+    other = long.select(F.col("topic").alias("b"), F.col("key").alias("key_b"), F.col("n").alias("n_b"), "piece")
+    # a ratio of 0.85 needs lengths within 0.85 to 1.15 of their mean
+    near = long.join(other, "piece").where((F.col("topic") < F.col("b")) & (2 * F.least("n", "n_b") >= least * (F.col("n") + F.col("n_b"))))
+    pairs = near.select(F.col("topic").alias("a"), "b", "key", "key_b").distinct()
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, later, first).ratio() for first, later in zip(x, y, strict=True)])
+
+    return pairs.where(ratio("key", "key_b") >= least).select("a", "b")
+
+
+def consolidated_topics(labels: DataFrame, least: float = 0.85) -> DataFrame:
+    """(topic, head) of distinct labels: a label's head is the first head, in order, that is alike, else itself. The order matters only
+    among labels that are linked, so each component of the links is decided apart."""
+    distinct = materialise(labels.select("topic").distinct(), "topics")
+    links = materialise(alike_topics(distinct, least), "topic-links")
+    parts = connected_components(links, "a", "b")
+    within = links.join(parts, F.col("a") == F.col("node")).select("component", "a", "b")
+
+    def decide(frame: pd.DataFrame) -> pd.DataFrame:
+        earlier: dict[str, list[str]] = {}
+        for a, b in zip(frame.a, frame.b, strict=True):
+            earlier.setdefault(b, []).append(a)
+            earlier.setdefault(a, [])
+        head: dict[str, str] = {}
+        for label in sorted(earlier):
+            head[label] = min((a for a in earlier[label] if head[a] == a), default=label)
+        return pd.DataFrame({"topic": list(head), "head": list(head.values())})
+
+    decided = within.groupBy("component").applyInPandas(decide, "topic string, head string")
+    return distinct.join(decided, "topic", "left").select("topic", F.coalesce("head", "topic").alias("head"))
+
+
+def item_topics(messages: DataFrame) -> DataFrame:
     """(item_id, topics): an item's topics in order, each as its group's label."""
     uses = messages.select("item_id", "chunk_id", "k", F.posexplode("topics").alias("t", "topic"))
-    labels = [r.topic for r in uses.select("topic").distinct().limit(most_labels + 1).collect()]
-    if len(labels) > most_labels:
-        raise ValueError(f"more than {most_labels} distinct topics: consolidate them before")
-    spark = messages.sparkSession
-    heads = spark.createDataFrame(list(consolidated_topics(labels).items()) or [("", "")], "topic string, head string")
-    named = uses.join(F.broadcast(heads), "topic")
+    named = uses.join(consolidated_topics(uses), "topic")
     ordered = named.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "k", "t", "head"))).alias("l"))
     return ordered.select("item_id", F.array_distinct(F.transform("l", lambda x: x["head"])).alias("topics"))
 

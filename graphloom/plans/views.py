@@ -14,7 +14,7 @@ from graphloom.operators.entities import first_few
 from graphloom.operators.relations import degree
 from graphloom.plans.build import Bundle
 
-# The preset questions.
+# The preset questions; so are the words of the answers below.
 QUESTIONS = [("money", "What are the financial amounts and costs?"), ("timeline", "Show the timeline of events in order."), ("who", "Who are the key people involved?")]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,62 +11,97 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.functions import times
+from graphloom.functions.participants import participants
 from graphloom.operators.order import ranked
 from graphloom.schema import INGEST_FILES, ITEMS, PARTICIPANT
 from graphloom.scratch import materialise
 from graphloom.sources import formats
 
+_HEADER = "struct<sender: string, to: string, cc: string, group: string>"
 _PARSED = (
-    "name string, detected_format string, error string, k int, id string, source_type string, channel string, conversation_id string, timestamp_raw string, timestamp timestamp, "
-    f"participants array<{PARTICIPANT}>, subject string, body string, notes string, provenance struct<batch_file: string, item_index: int, section: string>"
+    "name string, error string, k int, id string, source_type string, channel string, conversation_id string, timestamp_raw string, timestamp timestamp, "
+    f"header {_HEADER}, subject string, body string, notes string, provenance struct<batch_file: string, item_index: int, section: string>"
 )
-_COLUMNS = ["id", "source_type", "channel", "conversation_id", "timestamp_raw", "timestamp", "participants", "subject", "body", "notes", "provenance"]
+_COLUMNS = ["id", "source_type", "channel", "conversation_id", "timestamp_raw", "timestamp", "header", "subject", "body", "notes", "provenance"]
+# How the two kinds of phone write a message's first line: stamp (either of two), sender, text.
+CHAT_HEADER = "^(?:\\[(\\d{1,2}/\\d{1,2}/\\d{2,4},\\s*\\d{1,2}:\\d{2}(?::\\d{2})?\\s*[AaPp]?[Mm]?)\\]|(\\d{1,2}/\\d{1,2}/\\d{2,4},\\s*\\d{1,2}:\\d{2}(?:\\s*[AaPp][Mm])?)\\s*-)\\s*([^:]+?):\\s?(.*)$"
 
 
 def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        for name, data in zip(frame.name, frame.content, strict=True):
-            found, error, shown = [], None, ""
+        for name, kind, data in zip(frame.name, frame.format, frame.content, strict=True):
+            found, error = [], None
             try:
-                shown, items = formats.parse(name, bytes(data))
-                found = list(items)
+                found = list(formats.READERS[kind](name, bytes(data)))
             except Exception as e:  # noqa: BLE001  one file's trouble is its own
                 error = f"{type(e).__name__}: {e}"
-            rows = [{"name": name, "detected_format": shown, "error": None, "k": k} | i for k, i in enumerate(found)]
+            rows = [{"name": name, "error": None, "k": k} | i for k, i in enumerate(found)]
             # a row without an item reports the file itself
-            rows.append({"name": name, "detected_format": shown, "error": error, "k": -1} | dict.fromkeys(_COLUMNS))
+            rows.append({"name": name, "error": error, "k": -1} | dict.fromkeys(_COLUMNS))
             yield pd.DataFrame(rows)
 
 
 def _finished(items: DataFrame) -> DataFrame:
-    """pos and content_hash; the order is by file name and place in it."""
+    """Participants, pos and content_hash; the order is by file name and place in it."""
+    if "participants" not in items.columns:
+        items = items.withColumn("participants", participants("source_type", "header.sender", "header.to", "header.cc", "header.group"))
     placed = ranked(items, ["name", "k"], "pos")
     hashed = placed.withColumn("content_hash", T.content_hash(T.sender_display(), F.col("subject"), F.col("body"))).withColumn("duplicate_of", F.lit(None).cast("string"))
     names = [c.split()[0] for c in ITEMS.replace("struct<batch_file: string, item_index: int, section: string>", "s").replace(PARTICIPANT, "p").split(", ")]
     return hashed.select(*names)
 
 
-def read_archive(spark: SparkSession, path: str, batches_first: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The items of all files under a path, and the report (S17, A32). If there are ``batch*.md``
-    files, they are the archive and other files are left alone."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+def archive_files(spark: SparkSession, path: str, batches_first: bool = True) -> DataFrame:
+    """(name, content) of all files under a path. If there are ``batch*.md`` files, they are the archive and other files are left
+    alone. A file is named by its last path element, one that shares it with others by its whole path below the first folder that they
+    have in common."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     if batches_first and files.where("name rlike '^batch.*[.]md$'").select("name").limit(1).count():
         files = files.where("name rlike '^batch.*[.]md$'")
-    return parse_files(files)
+    shared = files.groupBy("name").count().where("count > 1").select("name", F.lit(True).alias("shared"))
+    root = path.rstrip("/").rsplit("/", 1)[-1]
+    below = F.regexp_replace(F.regexp_extract("path", f"/{re.escape(root)}/(.*)$", 1), "/", "_")
+    return files.join(shared, "name", "left").select(F.when(F.col("shared") & (below != ""), below).otherwise(F.col("name")).alias("name"), "content")
+
+
+def read_archive(spark: SparkSession, path: str, batches_first: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The items of all files under a path, and the report."""
+    return parse_files(archive_files(spark, path, batches_first))
 
 
 def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items and report of (name, content) rows; parsed once and kept."""
-    parsed = materialise(files.select("name", "content").mapInPandas(_parse, _PARSED), "parsed")
-    items = _finished(parsed.where("k >= 0").drop("detected_format", "error"))
-    counts = parsed.groupBy("name").agg(F.count_if(F.col("k") >= 0).cast("int").alias("items"), F.max("detected_format").alias("detected_format"), F.max("error").alias("error"))
-    unsupported = F.col("error").startswith("Unsupported")
-    status = F.when(unsupported, "skipped").when(F.col("error").isNotNull(), "failed").when(F.col("items") == 0, "partial").otherwise("ok")
+    """Items and report of (name, content) rows; parsed once and kept. Chats are read in columns alone, other formats by their parsers."""
+    routed = files.select("name", "content", formats.route(F.col("name"), F.col("content")).alias("r")).select("name", "content", "r.*")
+    listed = materialise(routed.select("name", "format", "error"), "files")
+    own = routed.where(F.col("format") != "whatsapp").select("name", "format", "content")
+    parsed = materialise(own.mapInPandas(_parse, _PARSED), "parsed")
+    chats = materialise(chat_items(routed.where("format = 'whatsapp'")), "chats")
+    items = _finished(parsed.where("k >= 0").drop("error").unionByName(chats))
+    found = parsed.select("name", "k", "error").unionByName(chats.select("name", "k", F.lit(None).cast("string").alias("error")))
+    counts = found.groupBy("name").agg(F.count_if(F.col("k") >= 0).cast("int").alias("items"), F.max("error").alias("trouble"))
+    joined = listed.join(counts, "name", "left").fillna(0, ["items"])
+    empty = F.col("trouble").startswith("Unsupported")
+    status = F.when(F.col("error").isNotNull() | empty, "skipped").when(F.col("trouble").isNotNull(), "failed").when(F.col("items") == 0, "partial").otherwise("ok")
     warnings = F.when(status == "partial", F.array(F.lit("no items found"))).otherwise(F.array().cast("array<string>"))
-    report = counts.select("name", "detected_format", status.alias("status"), "items", warnings.alias("warnings"), F.regexp_replace("error", "^Unsupported: ", "").alias("error"))
+    error = F.coalesce("error", F.regexp_replace("trouble", "^Unsupported: ", ""))
+    report = joined.select("name", F.coalesce("format", F.lit("")).alias("detected_format"), status.alias("status"), "items", warnings.alias("warnings"), error.alias("error"))
     return items, report.select(*[c.split()[0] for c in INGEST_FILES.split(", ")])
 
 
+def chat_items(files: DataFrame) -> DataFrame:
+    """The messages of chat files (name, content) as rows of items."""
+    lines = files.select(F.col("name").alias("file"), F.posexplode(F.split(F.col("content").cast("string"), "\\R")).alias("n", "line"))
+    title = F.regexp_replace("file", "(?<=.)\\.[^.]*$", "")
+    channel = F.concat(F.lit("whatsapp:"), title)
+    none = F.lit(None).cast("string")
+    index = F.col("message").cast("int")
+    return chat_lines(lines).select(
+        F.col("file").alias("name"), (index - 1).alias("k"), F.concat_ws("#", title, "message").alias("id"), F.lit("whatsapp").alias("source_type"), channel.alias("channel"), channel.alias("conversation_id"),
+        "timestamp_raw", "timestamp", F.struct(F.col("sender").alias("sender"), F.lit("").alias("to"), F.lit("").alias("cc"), title.alias("group")).alias("header"), none.alias("subject"), "body", F.lit("").alias("notes"),
+        F.struct(F.col("file").alias("batch_file"), index.alias("item_index"), title.alias("section")).alias("provenance"),
+    )
+
+
 def report_totals(report: DataFrame) -> DataFrame:
     """A32."""
     return report.agg(
@@ -92,11 +128,11 @@ def document_pages(pages: DataFrame) -> DataFrame:
 def chat_lines(lines: DataFrame) -> DataFrame:
     """S08, W03, W04 in SQL alone, for chats too large for one task's memory: (file, n, line) rows become messages by a
     running count of headers."""
-    header = "^(?:\\[(\\d{1,2}/\\d{1,2}/\\d{2,4},\\s*\\d{1,2}:\\d{2}(?::\\d{2})?\\s*[AaPp]?[Mm]?)\\]|(\\d{1,2}/\\d{1,2}/\\d{2,4},\\s*\\d{1,2}:\\d{2}(?:\\s*[AaPp][Mm])?)\\s*-)\\s*([^:]+?):\\s?(.*)$"
+    header, lines = CHAT_HEADER, lines.withColumn("line", F.regexp_replace("line", "^[\u200e\u200f]+", ""))
     begins = F.col("line").rlike(header)
     order = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     blocks = lines.withColumn("message", F.sum(begins.cast("int")).over(order)).where("message > 0")
     text = F.when(begins, F.regexp_extract("line", header, 4)).otherwise(F.col("line"))
     joined = blocks.groupBy("file", "message").agg(F.min_by("line", "n").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", text.alias("t")))), lambda x: x["t"]), "\n").alias("body"))
     stamp = F.concat(F.regexp_extract("first", header, 1), F.regexp_extract("first", header, 2))
-    return joined.select("file", "message", stamp.alias("timestamp_raw"), times.chat_time(stamp).alias("timestamp"), F.trim(F.regexp_extract("first", header, 3)).alias("sender"), F.trim("body").alias("body"))
+    return joined.select("file", "message", stamp.alias("timestamp_raw"), times.chat_time(stamp).alias("timestamp"), F.trim(F.regexp_extract("first", header, 3)).alias("sender"), F.regexp_replace("body", "^\\s+|\\s+$", "").alias("body"))

@@ -1,4 +1,6 @@
+import difflib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +100,21 @@ def test_exact_wins_over_near(spark):
     assert (counts.exact_dupes, counts.near_dupes, counts.n_duplicates) == (2, 2, 3)
 
 
+def test_topics_consolidate_like_a_plain_loop(spark):
+    rng = random.Random(12)
+    labels = {"", "a", "A", "b", "ab", "abc", "-"}
+    for _ in range(60):
+        word = "".join(rng.choices("abcdef ", k=rng.randrange(2, 24)))
+        labels |= {word, word + rng.choice("abc"), word[:-1], word.upper(), word.replace("a", "b", 1)}
+    plain = lambda t: re.sub("[^a-z0-9 ]", "", t.strip(" ").lower())
+    heads, expected = [], {}
+    for x in sorted(labels):
+        expected[x] = next((h for h in heads if difflib.SequenceMatcher(None, plain(x), plain(h)).ratio() >= 0.85), x)
+        heads += [x] if expected[x] == x else []
+    got = extraction.consolidated_topics(spark.createDataFrame([(x,) for x in labels], "topic string")).collect()
+    assert {r.topic: r["head"] for r in got} == expected and len(got) == len(labels)
+
+
 # ---- merging and the contract ----
 
 
@@ -271,9 +288,9 @@ def failure(status):
 
 def test_retries():
     waits = []
-    assert extraction.Retrying(Flaky(failure(429), failure(503)), sleep=waits.append).complete("", "") == "{}" and waits == [1.0, 2.0]
+    assert extraction.Retrying(Flaky(failure(429), failure(503)), sleep=waits.append, jitter=lambda: 0.0).complete("", "") == "{}" and waits == [1.0, 2.0]
     with pytest.raises(RuntimeError):
-        extraction.Retrying(Flaky(failure(400)), sleep=waits.append).complete("", "")
+        extraction.Retrying(Flaky(failure(400)), sleep=waits.append, jitter=lambda: 0.0).complete("", "")
     assert len(waits) == 2
 
 
@@ -289,8 +306,9 @@ def test_cache(spark):
     assert chunks.dry_run(chunk, cache, "m", "v1").first().asDict()["cache_hits"] == 1
 
 
-def test_topics():
-    group = extraction.consolidated_topics(["Visa letters", "visa letter", "Hotels", "Visa letters"])
+def test_topics(spark):
+    labels = spark.createDataFrame([(x,) for x in ("Visa letters", "visa letter", "Hotels", "Visa letters")], "topic string")
+    group = {r.topic: r["head"] for r in extraction.consolidated_topics(labels).collect()}
     assert group["visa letter"] == group["Visa letters"] and group["Hotels"] == "Hotels"
 
 
