@@ -6,8 +6,10 @@ import re
 from datetime import datetime, timedelta, timezone
 from email.utils import parsedate_to_datetime
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 # Offsets of zone names, in hours.
 ZONES = {
@@ -92,6 +94,16 @@ def _searched(raw: str) -> datetime | None:
     return None
 
 
+def any_time_column(raw: Column | str) -> Column:
+    """``any_time`` over Arrow batches."""
+    return _any_time(raw)
+
+
+@F.pandas_udf(TimestampType())
+def _any_time(raw: pd.Series) -> pd.Series:
+    return pd.Series([any_time(x) for x in raw], dtype="datetime64[us]").dt.tz_localize("UTC")
+
+
 def item_time(kind: str, raw: str | None) -> datetime | None:
     """F04 for one value, for readers that work file by file."""
     if kind == "whatsapp" and (m := re.search(r"(\d{1,2})/(\d{1,2})/(\d{2,4}),", raw or "")):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,32 +10,18 @@ from graphloom.functions import text as T
 from graphloom.operators import chunks, contract, dedup, entities, extraction, graph, identity, merge, profiles, relations
 from graphloom.operators.components import connected_components
 from graphloom.plans import tables
+from graphloom.plans.catalogue import QUERIES, SQL, Query, query
 from graphloom.plans.tables import table
 from graphloom.streaming import limits
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a function under its name, with its SQL if it has one."""
-
-    def keep(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return keep
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 # ---- texts ----
@@ -668,3 +652,7 @@ def labels_relevance(spark: SparkSession, sf: str) -> DataFrame:
 def ingest_stats(spark: SparkSession, sf: str) -> DataFrame:
     """A31."""
     return tables.events(spark, sf).groupBy("source_type").agg(F.count("*").alias("items"), F.count("timestamp").alias("with_timestamp"), F.count_distinct("conversation_id").alias("conversations"))
+
+
+# the queries of the other modules register themselves
+from graphloom.plans import answer_queries, people_queries, resolution_queries, source_queries  # noqa: E402, F401

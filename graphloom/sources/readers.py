@@ -71,11 +71,10 @@ def read_archive(spark: SparkSession, path: str, batches_first: bool = True) ->
 
 def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items and report of (name, content) rows; parsed once and kept. Chats are read in columns alone, other formats by their parsers."""
-    routed = files.select("name", "content", formats.route(F.col("name"), F.col("content")).alias("r")).select("name", "content", "r.*")
+    routed = formats.routed(files)
     listed = materialise(routed.select("name", "format", "error"), "files")
-    own = routed.where(F.col("format") != "whatsapp").select("name", "format", "content")
-    parsed = materialise(own.mapInPandas(_parse, _PARSED), "parsed")
-    chats = materialise(chat_items(routed.where("format = 'whatsapp'")), "chats")
+    parsed = materialise(routed.where("format <> 'whatsapp'").select("name", "format", "content").mapInPandas(_parse, _PARSED), "parsed")
+    chats = materialise(chat_items(routed.where("format = 'whatsapp'").select("name", "content")), "chats")
     items = _finished(parsed.where("k >= 0").drop("error").unionByName(chats))
     found = parsed.select("name", "k", "error").unionByName(chats.select("name", "k", F.lit(None).cast("string").alias("error")))
     counts = found.groupBy("name").agg(F.count_if(F.col("k") >= 0).cast("int").alias("items"), F.max("error").alias("trouble"))

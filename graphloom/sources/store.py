@@ -6,6 +6,7 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.scratch import delete
 
@@ -33,8 +34,12 @@ def save(spark: SparkSession, tables: dict[str, DataFrame], path: str, stats: di
     before = _manifest(spark, path)
     fs.delete(target, False)
     fs.rename(new, target)
-    if before:
-        delete(spark, f"{path}/{before['version']}")
+    # readers may still hold the version before; those before it go
+    keep = {version.rsplit("/", 1)[1], before["version"] if before else ""}
+    for entry in fs.listStatus(fs.makeQualified(target.getParent())):
+        name = entry.getPath().getName()
+        if name.startswith("v-") and name not in keep:
+            delete(spark, f"{path}/{name}")
     return version
 
 
@@ -61,3 +66,23 @@ def load(spark: SparkSession, *paths: str) -> tuple[dict[str, DataFrame], dict]
             except Exception:  # noqa: BLE001  a broken bundle counts as none
                 continue
     return None
+
+
+def keep_raw(files: DataFrame, path: str) -> None:
+    """Raw files (name, content) added to a folder, to be read again later. Files added twice under a name stay once, the last."""
+    files.select("name", "content", F.current_timestamp().alias("kept_at")).write.mode("append").parquet(path)
+
+
+def raw_files(spark: SparkSession, path: str) -> DataFrame:
+    """The raw files (name, content) of a folder."""
+    return spark.read.parquet(path).groupBy("name").agg(F.max_by("content", "kept_at").alias("content"))
+
+
+def overlaid(tables: dict[str, DataFrame], changes: dict[str, DataFrame], keys: dict[str, str]) -> dict[str, DataFrame]:
+    """The tables with a session's changed rows over them, by key. The tables themselves are shared and never written: a session
+    costs the rows that it changes."""
+    out = dict(tables)
+    for name, changed in changes.items():
+        key = keys[name]
+        out[name] = tables[name].join(changed.select(key), key, "left_anti").unionByName(changed)
+    return out
