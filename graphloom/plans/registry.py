@@ -605,13 +605,6 @@ def evidence_rank(spark: SparkSession, sf: str) -> DataFrame:
     return graph.evidence(items, near, "trash idiot tion ingea stion").select(F.col("id").alias("doc_id"), F.col("score").cast("long").alias("score"))
 
 
-@query("SELECT doc_id, lang, left(text, 140) AS preview FROM documents WHERE lang = 'en' AND contains(lower(text), 'and') ORDER BY doc_id LIMIT 100 OFFSET 50")
-def items_page(spark: SparkSession, sf: str) -> DataFrame:
-    """P10, T05."""
-    rows = tables.documents(spark, sf).where((F.col("source_type") == "en") & F.lower("body").contains("and"))
-    return rows.orderBy("pos").offset(50).limit(100).select(F.col("id").alias("doc_id"), F.col("source_type").alias("lang"), F.left("body", F.lit(140)).alias("preview"))
-
-
 def _name_profiles(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
     none = F.array().cast("array<string>")
@@ -648,11 +641,5 @@ def labels_relevance(spark: SparkSession, sf: str) -> DataFrame:
     return extraction.relevance(tables.documents(spark, sf), topics).select(F.col("item_id").alias("doc_id"), "relevant", "score", "rationale")
 
 
-@query("SELECT event_type AS source_type, count(*) AS items, count(ts) AS with_timestamp, count(DISTINCT event_type || '-' || (user_id % 7)) AS conversations FROM events GROUP BY 1")
-def ingest_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """A31."""
-    return tables.events(spark, sf).groupBy("source_type").agg(F.count("*").alias("items"), F.count("timestamp").alias("with_timestamp"), F.count_distinct("conversation_id").alias("conversations"))
-
-
 # the queries of the other modules register themselves
 from graphloom.plans import answer_queries, people_queries, resolution_queries, source_queries  # noqa: E402, F401

@@ -12,7 +12,7 @@ from graphloom.functions import text as T
 from graphloom.functions import times
 from graphloom.plans.catalogue import query
 from graphloom.plans.tables import table
-from graphloom.scratch import new_path
+from graphloom.scratch import materialise, new_path
 from graphloom.sources import readers, store
 
 
@@ -28,6 +28,11 @@ def _joined(rows: DataFrame, name: Column, order: str, line: Column, between: st
     return listed.select("name", F.concat(F.lit(head), F.array_join(F.transform("ls", lambda x: x["l"]), between)).cast("binary").alias("content"))
 
 
+def _read(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items and report of files that are written first."""
+    return readers.parse_files(materialise(files, "exports"))
+
+
 def _when(c: str = "timestamp") -> Column:
     return F.col(c).cast("timestamp_ntz").alias(c)
 
@@ -59,14 +64,14 @@ SELECT {id} AS id, 'email' AS source_type, 'email-thread:account ' || c_custkey
 def mail_reader(spark: SparkSession, sf: str) -> DataFrame:
     """S09, S11, F14, F16, F38, P04, P05."""
     files = _customers(spark, sf).select(_text("c{c_custkey}.eml").alias("name"), _text(MAIL).cast("binary").alias("content"))
-    return _shown_mail(readers.parse_files(files)[0])
+    return _shown_mail(_read(files)[0])
 
 
 @query(MAILS.format(id="'box' || c_nationkey || '#' || row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)", body="'segment ' || c_mktsegment || chr(10) || 'From here on'"))
 def mailbox_reader(spark: SparkSession, sf: str) -> DataFrame:
     """S10, S30."""
     one = _text("From nobody Tue Mar  5 10:00:00 2024\n" + MAIL + ">From here on\n\n")
-    return _shown_mail(readers.parse_files(_joined(_customers(spark, sf), _text("box{c_nationkey}.mbox"), "c_custkey", one))[0])
+    return _shown_mail(_read(_joined(_customers(spark, sf), _text("box{c_nationkey}.mbox"), "c_custkey", one))[0])
 
 
 def _chats(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,7 +87,7 @@ STAMP = "TIMESTAMP '2024-01-01' + turn * INTERVAL 61 SECOND"
 @query(rf"SELECT 'chat ' || conv_id || '#' || {CHAT} AS id, 'whatsapp:chat ' || conv_id AS conversation_id, {STAMP} AS timestamp, role AS sender, {BODY} AS body FROM conversations")
 def chat_reader(spark: SparkSession, sf: str) -> DataFrame:
     """Messages of many lines; what stands before the first is dropped."""
-    items = readers.parse_files(_chats(spark, sf))[0]
+    items = _read(_chats(spark, sf))[0]
     return items.select("id", "conversation_id", _when(), T.sender_display().alias("sender"), "body")
 
 
@@ -98,7 +103,7 @@ def table_reader(spark: SparkSession, sf: str) -> DataFrame:
     """Blank lines and blank cells say nothing."""
     rows = table(spark, sf, "supplier").withColumn("shown", F.when(F.col("s_suppkey") % 5 == 0, " ").otherwise(F.col("s_name")))
     files = _joined(rows, _text("nation{s_nationkey}.csv"), "s_suppkey", _text('{s_suppkey},{shown},"a, b"\n , ,\n'), "", "key,name,note\n\n")
-    return readers.parse_files(files)[0].select("id", "source_type", "conversation_id", "body")
+    return _read(files)[0].select("id", "source_type", "conversation_id", "body")
 
 
 BATCH = (
@@ -119,7 +124,7 @@ def batch_reader(spark: SparkSession, sf: str) -> DataFrame:
     files = _joined(table(spark, sf, "supplier").withColumn("kind", kind), _text("batch{s_nationkey}.md"), "s_suppkey", _text(BATCH))
     n = F.regexp_extract("name", "\\d+", 0)
     named = files.select("name", F.concat(F.lit("lost\n## Chat: `Nation "), n, F.lit("` (9 messages)\n"), F.col("content").cast("string")).cast("binary").alias("content"))
-    items = readers.parse_files(named)[0]
+    items = _read(named)[0]
     return items.select("id", "source_type", F.col("provenance.section").alias("section"), "subject", "conversation_id", "body", "notes", F.concat(T.sender_display(), F.lit(" -> "), T.recipients_display()).alias("who"))
 
 
@@ -149,13 +154,13 @@ r AS (SELECT p_partkey % 10 AS shape, 'f' || p_partkey || {_shape([s[0] for s in
 @query(f"WITH {REPORT} SELECT name, detected_format, status, items, CASE shape WHEN 5 THEN '{ERRORS[5]}' WHEN 6 THEN '{ERRORS[6]}' WHEN 7 THEN name || ' has no data rows.' END AS error FROM r")
 def format_report(spark: SparkSession, sf: str) -> DataFrame:
     """Which format each file has, and which cannot be read."""
-    return readers.parse_files(_mixed_files(spark, sf))[1].select("name", "detected_format", "status", "items", "error")
+    return _read(_mixed_files(spark, sf))[1].select("name", "detected_format", "status", "items", "error")
 
 
 @query(f"WITH {REPORT} SELECT count(*) AS files, count(*) FILTER (status IN ('ok', 'partial')) AS parsed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, sum(items)::BIGINT AS items FROM r")
 def report_totals(spark: SparkSession, sf: str) -> DataFrame:
     """A32, U01."""
-    return readers.report_totals(readers.parse_files(_mixed_files(spark, sf))[1])
+    return readers.report_totals(_read(_mixed_files(spark, sf))[1])
 
 
 PAGE = "CASE c_custkey % 4 WHEN 0 THEN DATE '2024-02-09' WHEN 1 THEN DATE '2024-03-07' WHEN 2 THEN DATE '2024-11-05' ELSE DATE '2024-12-04' END + (c_custkey % 3)::INT"
@@ -184,7 +189,7 @@ def raw_replay(spark: SparkSession, sf: str) -> DataFrame:
     files = _customers(spark, sf).select(_text("c{c_custkey}.eml").alias("name"), _text(MAIL).cast("binary").alias("content"))
     path = new_path(spark, "raw")
     store.keep_raw(files, path)
-    return _shown_mail(readers.parse_files(store.raw_files(spark, path))[0])
+    return _shown_mail(_read(store.raw_files(spark, path))[0])
 
 
 @query("SELECT c_custkey, c_name, 'second' AS version, (SELECT count(*) FROM customer) AS saved FROM customer")

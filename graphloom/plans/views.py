@@ -157,7 +157,7 @@ def currency_flags(b: Bundle) -> DataFrame:
     first = first_few(told, ["entity_id"], "item_id", 4, "pos").select("entity_id", F.posexplode("item_id").alias("k", "item_id"))
     source = first.join(b.items.select(F.col("id").alias("item_id"), "source_type", F.trim(F.left("body", F.lit(140))).alias("snippet")), "item_id")
     listed = source.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("k", "item_id", "source_type", "snippet"))).alias("sources"))
-    reason = F.when("currency_ambiguous", "mixed-currency").otherwise("no-currency-marker")
+    reason = F.when(F.col("currency_ambiguous"), "mixed-currency").otherwise("no-currency-marker")
     return flagged.withColumnRenamed("id", "entity_id").join(listed, "entity_id", "left").select("entity_id", "amount", reason.alias("reason"), F.col("currency_evidence").alias("evidence"), "sources").orderBy(F.desc("amount"))
 
 

@@ -47,6 +47,22 @@ def kept_sessions(sessions: DataFrame, now: str, most: int = 10) -> DataFrame:
     return sessions.where(F.col("expires") > F.to_timestamp(F.lit(now))).orderBy(F.desc("expires")).limit(most)
 
 
+def kept_jobs(events: DataFrame, now: str, seconds: int = 1800, most: int = 100) -> DataFrame:
+    """(job_id, last_ts) of the jobs whose last event is not too old, the latest ones up to a number."""
+    last = events.groupBy("job_id").agg(F.max("ts").alias("last_ts"))
+    fresh = last.where(F.unix_timestamp(F.col("last_ts").cast("timestamp")) > F.unix_timestamp(F.to_timestamp(F.lit(now))) - seconds)
+    return fresh.orderBy(F.desc("last_ts"), "job_id").limit(most)
+
+
+def replay_then_live(kept: DataFrame, live: DataFrame) -> DataFrame:
+    """A job's events as a late reader gets them: all kept ones in order, then those of the live log that are newer than the last kept
+    one. (job_id, ts, event_id) rows; the two logs may overlap."""
+    last = kept.groupBy("job_id").agg(F.max(F.struct("ts", "event_id")).alias("__last"))
+    new = live.join(last, "job_id", "left").where(F.col("__last").isNull() | (F.struct("ts", "event_id") > F.col("__last"))).select("job_id", "ts", "event_id")
+    both = kept.select("job_id", "ts", "event_id", F.lit(False).alias("live")).unionByName(new.withColumn("live", F.lit(True)))
+    return both.withColumn("n", F.row_number().over(Window.partitionBy("job_id").orderBy("ts", "event_id")))
+
+
 def job_log(events: DataFrame) -> DataFrame:
     """Each job's events in order, and its last state."""
     order = Window.partitionBy("job_id").orderBy("ts", "event_id")
