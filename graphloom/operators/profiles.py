@@ -27,7 +27,7 @@ def conversation_profiles(mentions: DataFrame) -> DataFrame:
 
 
 def from_mentions(mentions: DataFrame, items: DataFrame) -> DataFrame:
-    """A profile per conversation and local name, from mentions (conversation_id, local_entity, pos, surface,
+    """A profile per conversation and local name, from mentions (conversation_id, local_entity, pos, surface,
     type, item_id, clues). The last type names the profile; addresses and numbers among the clues are identifiers."""
     ids = conversation_profiles(mentions).withColumnRenamed("pos", "n")
     rows = mentions.join(ids, ["conversation_id", "local_entity"])
@@ -44,18 +44,25 @@ def from_mentions(mentions: DataFrame, items: DataFrame) -> DataFrame:
     last = F.lower(F.max_by("type", "pos"))
     base = rows.groupBy("profile_id").agg(F.first("n").alias("pos"), last.alias("t"), _listed("item_id").alias("item_ids"))
     seen = rows.join(items.select(F.col("id").alias("item_id"), "source_type"), "item_id").groupBy("profile_id").agg(_listed("source_type").alias("channels"))
-    pairs = rows.select("item_id", "profile_id").distinct()
-    others = pairs.join(pairs.withColumnRenamed("profile_id", "other"), "item_id").where("profile_id <> other").groupBy("profile_id").agg(_listed("other").alias("co_profile_ids"))
-    for part in (surfaces, samples, identifiers, soft, seen, others):
+    for part in (surfaces, samples, identifiers, soft, seen):
         base = base.join(part, "profile_id", "left")
     none = F.array().cast(_LIST)
     return base.select(
         F.col("profile_id").alias("id"), F.col("pos").cast("long").alias("pos"), F.when(F.col("t").isin(*MENTION_TYPES), F.col("t")).otherwise("unknown").alias("type"), F.col("surfaces").cast("map<string,bigint>").alias("surfaces"),
         F.coalesce("identifiers", none).alias("identifiers"), F.coalesce("clues", F.create_map().cast("map<string,array<string>>")).alias("clues"), F.coalesce("channels", none).alias("channels"),
-        "item_ids", F.coalesce("sample_lines", none).alias("sample_lines"), F.coalesce("co_profile_ids", none).alias("co_profile_ids"),
+        "item_ids", F.coalesce("sample_lines", none).alias("sample_lines"), none.alias("co_profile_ids"),
     )
 
 
+def co_occurring(mentions: DataFrame) -> DataFrame:
+    """(id, other, items) of profiles that share items. Nothing in the build reads it, so it isn't part of a profile: a busy item
+    has as many rows as pairs of profiles."""
+    ids = conversation_profiles(mentions).select("conversation_id", "local_entity", F.col("profile_id").alias("id"))
+    told = mentions.join(ids, ["conversation_id", "local_entity"]).select("item_id", "id").distinct()
+    both = told.join(told.select("item_id", F.col("id").alias("other")), "item_id").where("id <> other")
+    return both.groupBy("id", "other").agg(F.count("*").alias("items"))
+
+
 def from_clusters(clusters: DataFrame) -> DataFrame:
     """A person's profile per identity cluster; names and identifier are its surfaces."""
     surfaces = F.array_distinct(F.concat("names", F.array("identifier")))
