@@ -13,18 +13,19 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.operators.components import connected_components
+from graphloom.scratch import materialise
 
 
 def exact_groups(items: DataFrame, key: str = "content_hash", id_col: str = "id", pos: str = "pos") -> DataFrame:
-    """(key, canonical_id, ids) of the keys that several items share; ids in input order."""
-    grouped = items.groupBy(key).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(pos, id_col))).alias("held"))
-    return grouped.where("n > 1").select(key, F.col("held")[0][id_col].alias("canonical_id"), F.transform("held", lambda x: x[id_col]).alias("ids"))
+    """(key, canonical_id, n) of the keys that several items share. Members aren't listed, as a key may have a third of all items:
+    ``exact_canonical`` has a row for each."""
+    return items.groupBy(key).agg(F.min_by(id_col, pos).alias("canonical_id"), F.count("*").alias("n")).where("n > 1")
 
 
 def exact_canonical(items: DataFrame, key: str = "content_hash", id_col: str = "id", pos: str = "pos") -> DataFrame:
     """(id, canonical_id) of every item that is a later copy. Only the key's first item is aggregated, so a key that
     very many items share is a partial aggregate and a skewed join, never a collected list."""
-    first = items.groupBy(key).agg(F.min_by(id_col, pos).alias("canonical_id"), F.count("*").alias("n")).where("n > 1")
+    first = exact_groups(items, key, id_col, pos)
     return items.join(first.drop("n"), key).where(F.col(id_col) != F.col("canonical_id")).select(F.col(id_col).alias("id"), "canonical_id")
 
 
@@ -41,28 +42,39 @@ def shingled(items: DataFrame, id_col: str, text_col: str, block: Column, k: int
 
 
 def representatives(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rep, block, sh) of the distinct shingle sets, and (id, rep) of all items."""
-    keyed = sets.withColumn("same", F.xxhash64(F.array_join(F.transform("sh", lambda h: h.cast("string")), ",")))
-    reps = keyed.groupBy("block", "same").agg(F.min("id").alias("rep"), F.any_value("sh").alias("sh"))
-    return reps.select("rep", "block", "sh"), keyed.join(reps.select("block", "same", "rep"), ["block", "same"]).select("id", "rep")
+    """(rep, block, sh) of the distinct shingle sets, and (id, rep) of all items. The sets are written once; both results read them."""
+    keyed = materialise(sets.withColumn("same", F.xxhash64(F.array_join(F.transform("sh", lambda h: h.cast("string")), ","))), "shingles")
+    named = keyed.groupBy("block", "same").agg(F.min("id").alias("rep"))
+    chosen = named.select("block", F.col("rep").alias("id"))
+    reps = keyed.join(chosen, ["block", "id"]).select(F.col("id").alias("rep"), "block", "sh")
+    return materialise(reps, "representatives"), keyed.select("id", "block", "same").join(named, ["block", "same"]).select("id", "rep")
 
 
 def near_pairs(reps: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """(a, b, similarity), a < b, of representatives in one block with a Jaccard similarity from threshold on."""
-    long = reps.select("rep", "block", F.size("sh").alias("n"), F.explode("sh").alias("h"))
-    held_by = long.groupBy("block", "h").agg(F.count("*").alias("df"))
-    ranked = long.join(held_by, ["block", "h"]).groupBy("rep", "block", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("by_df"))
+    """(a, b, similarity), a < b, of representatives in one block with a Jaccard similarity from threshold on.
+
+    Each set's shingles are ranked from the rarest on. Two sets can only be that similar if they share a shingle in the first places of
+    both, and if what is left behind that place is enough (the first shared place always passes)."""
+    sets = reps.select("rep", "block", "sh", F.size("sh").alias("n"))
+    long = sets.select("rep", "block", "n", F.explode("sh").alias("h"))
+    held_by = long.groupBy("block", "h").agg(F.count("*").alias("df")).where("df > 1")
+    # a shingle of one set alone ranks first and meets nobody: only how many there are of them matters
+    shared = long.join(held_by, ["block", "h"])
+    ranked = shared.groupBy("rep", "block", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("by_df"))
     length = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-    prefix = ranked.select("rep", "block", "n", F.explode(F.slice("by_df", F.lit(1), length)).alias("x")).where("x.df > 1")
-    left = prefix.select("block", F.col("x.h").alias("h"), F.col("rep").alias("a"), F.col("n").alias("na"))
-    right = prefix.select("block", F.col("x.h").alias("h"), F.col("rep").alias("b"), F.col("n").alias("nb"))
+    alone = F.col("n") - F.size("by_df")
+    first = ranked.withColumn("alone", alone).select("rep", "block", "n", "alone", F.posexplode(F.slice("by_df", F.lit(1), F.greatest(F.lit(0), length - alone))).alias("at", "x"))
+    place = materialise(first.select("rep", "block", "n", (F.col("alone") + F.col("at")).alias("place"), F.col("x.h").alias("h")), "prefixes")
+    left = place.select("block", "h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    right = place.select("block", "h", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
     longer, shorter = F.greatest("na", "nb"), F.least("na", "nb")
-    met = left.join(right, ["block", "h"]).where((F.col("a") < F.col("b")) & (shorter >= longer * threshold - 1e-9))
+    enough = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9
+    met = left.join(right, ["block", "h"]).where((F.col("a") < F.col("b")) & (shorter >= longer * threshold - 1e-9) & enough)
     pairs = met.select("a", "b").distinct()
-    sets = reps.select("rep", "sh")
+    words = reps.select("rep", "sh")
     scored = (
-        pairs.join(sets.select(F.col("rep").alias("a"), F.col("sh").alias("sa")), "a")
-        .join(sets.select(F.col("rep").alias("b"), F.col("sh").alias("sb")), "b")
+        pairs.join(words.select(F.col("rep").alias("a"), F.col("sh").alias("sa")), "a")
+        .join(words.select(F.col("rep").alias("b"), F.col("sh").alias("sb")), "b")
         .select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity"))
     )
     return scored.where(F.col("similarity") >= threshold)

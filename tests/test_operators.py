@@ -160,11 +160,11 @@ def test_stable_ids_and_currency_decisions(spark):
 
 def test_whole_contract_leaves_out_no_row(spark):
     sf = "/root/testdata/sf0.01"
-    g = registry._whole(spark, sf)
+    g = registry._broken(spark, sf)
     customers, orders = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("customer", "orders"))
     assert g.entities.select("id").distinct().count() == customers.count()
     assert g.items.count() == g.mentions.count() == g.edges.count() == orders.count()
-    found = registry.queries()["contract_violations_whole"](spark, sf)
+    found = registry.queries()["contract_violations"](spark, sf)
     sources = found.where("rule = 'R6_dangling_source'").count()
     assert sources == orders.where("o_orderpriority like '5%'").count()
     assert found.select("rule").distinct().count() == 11
