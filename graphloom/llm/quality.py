@@ -1,7 +1,7 @@
 """Quality by ordinal regression on graded ratings (a cumulative link model).
 
 One weight vector over hashed tokens, token endings and repetitions is shared by all grades; ordered thresholds cut
-its score into grades: P(grade <= k) = sigmoid(threshold_k - score). The thresholds are a first value plus positive
+its score into grades: P(grade <= k) = sigmoid(threshold_k - score). Documents are selected by a tail probability. The thresholds are a first value plus positive
 steps, so they keep their order in training. Training (Adam, whole batches) runs on the driver over at most
 ``train_docs`` documents of each grade, chosen by hash; that bound is the only sampling. Ratings with more than
 ``most_grades`` values are cut into as many bands of about equal size, each graded by its mean. All documents are scored whole in one map.
@@ -39,14 +39,15 @@ class Model:
         return sigmoid(score[:, None] - self.thresholds)
 
     def score(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Expected grade, and probability of the highest grade."""
+        """Expected grade, the probabilities of more than the lowest grade and of the highest."""
         owner, ids, values = style_features(Texts.of(texts), BITS)
         above = self.above(np.bincount(owner, weights=self.weights[ids] * values, minlength=len(texts)))
         empty = np.bincount(owner, minlength=len(texts)) == 0
         above[empty] = 0
         expected = self.grades[0] + above @ np.diff(self.grades)
-        tail = above[:, -1] if above.shape[1] else np.where(empty, 0.0, 1.0)
-        return [expected, tail]
+        if not above.shape[1]:
+            above = np.where(empty, 0.0, 1.0)[:, None]
+        return [expected, above[:, 0], above[:, -1]]
 
 
 def fit(owner: np.ndarray, ids: np.ndarray, values: np.ndarray, grade: np.ndarray, grades: list[float], steps: int = 200, rate: float = 0.1, l2: float = 1e-5) -> Model:
@@ -118,15 +119,18 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def graded(labels: DataFrame) -> DataFrame:
-    """The 0/1 flags as one rating: 0 toxic, 1 of low quality, 2 good."""
-    return labels.withColumn("quality", F.when(F.col("toxic") == 1, 0).otherwise(F.col("quality") + 1))
+    """The 0/1 flags as one rating: 0 of low quality, 1 good but toxic, 2 good."""
+    return labels.withColumn("quality", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, F.col("quality")).otherwise(2 * F.col("quality")))
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3) -> DataFrame:
-    """(doc_id, expected_grade, p_top, selected) of every document."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """(doc_id, expected_grade, p_tail, p_top, selected) of every document: the probabilities of more than the lowest grade, by which
+    documents are selected, and of the highest."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("expected_grade", pa.float64()), ("p_top", pa.float64())])
-    return mapped(narrow, schema, "doc_id long, expected_grade double, p_top double", model.score).withColumn("selected", F.col("p_top") >= least)
+    names = ["expected_grade", "p_tail", "p_top"]
+    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.float64()) for n in names)])
+    scored = mapped(narrow, schema, "doc_id long, " + ", ".join(f"{n} double" for n in names), model.score)
+    return scored.withColumn("selected", F.col("p_tail") >= least)
 
 
 def rate(docs: DataFrame, ratings: DataFrame) -> DataFrame:
