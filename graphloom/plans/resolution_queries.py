@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators import chunks, entities, extraction, identity, merge, profiles, relations
+from graphloom.operators import chunks, entities, extraction, identity, merge, profiles, prompts, relations
 from graphloom.operators.entities import Found
 from graphloom.plans import build
 from graphloom.plans.catalogue import query
@@ -133,6 +133,15 @@ def participant_tables(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.participant_tables(chunks.participants(items))
 
 
+@query(
+    """SELECT * FROM (VALUES ('clusters', 'array', ''), ('clusters[]', 'object', ''), ('clusters[].member_ids', 'array', ''), ('clusters[].member_ids[]', 'string', ''), ('clusters[].canonical_name', 'string', ''), ('clusters[].confidence', 'string', 'high|medium|low'), ('clusters[].evidence', 'string', ''),
+('derived_relations', 'array', ''), ('derived_relations[]', 'object', ''), ('derived_relations[].subject_id', 'string', ''), ('derived_relations[].object_id', 'string', ''), ('derived_relations[].type', 'string', ''), ('derived_relations[].evidence', 'string', '')) v(path, type, allowed)"""
+)
+def answer_shape(spark: SparkSession, sf: str) -> DataFrame:
+    """The shape in which a client answers about profiles."""
+    return prompts.fields(spark, "resolve")
+
+
 # ---- profiles ----
 
 
