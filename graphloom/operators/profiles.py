@@ -212,6 +212,12 @@ def entities_of(profiles: DataFrame, groups: DataFrame) -> DataFrame:
     return named.join(held, "root")
 
 
+def entity_of(profiles: DataFrame, groups: DataFrame, kind: str) -> DataFrame:
+    """(profile_id, entity_id) of the profiles of a kind other than persons, through the root of their group."""
+    of = profiles.where(F.col("type") == kind).select(F.col("id").alias("profile_id"))
+    return of.join(groups, F.col("profile_id") == F.col("id")).select("profile_id", F.concat(F.lit(f"{kind}:profile:"), "root").alias("entity_id"))
+
+
 def person_of(profiles: DataFrame, entities: DataFrame) -> DataFrame:
     """(profile_id, entity_id) of persons by any identifier, else by any surface, the first in order."""
     persons = entities.where("type = 'person'").select(F.col("id").alias("entity_id"), "pos", "emails", F.concat("aliases", F.array("label")).alias("names"))

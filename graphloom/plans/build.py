@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import chunks, contract, dedup, entities, extraction, graph, identity, merge, profiles, relations
 from graphloom.operators.entities import Found
+from graphloom.operators.order import ranked
 from graphloom.scratch import materialise
 from graphloom.sources import store
 
@@ -73,7 +74,8 @@ def prepare(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def resolved_claims(claims: Verified, items: DataFrame, people: Found) -> tuple[Found, Found, DataFrame, DataFrame, DataFrame, DataFrame]:
     """People merged by their profiles, organisations and locations from profiles, (conversation_id, local_entity,
     entity_id), merges, and clusters for review."""
-    told = materialise(claims.mentions.withColumn("pos", F.monotonically_increasing_id()), "told")
+    chunk = F.substring_index("chunk_id", ":", -1).cast("long")
+    told = materialise(ranked(claims.mentions.withColumn("__chunk", chunk), ["conversation_id", "__chunk", "k"], "pos").drop("__chunk"), "told")
     held = materialise(profiles.from_mentions(told, items), "profiles")
     members = materialise(profiles.blocks(held), "blocks").select("block", "id")
     prompts = extraction.block_prompts(profiles.serialised(held), members, "", "")
@@ -92,7 +94,7 @@ def resolved_claims(claims: Verified, items: DataFrame, people: Found) -> tuple[
         made = profiles.entities_of(of, groups).withColumn("id", F.concat(F.lit(f"{kind}:profile:"), "root")).join(of.select(F.col("id").alias("root"), "pos"), "root")
         spoken = made.select(F.col("id").alias("entity_id"), F.explode("item_ids").alias("item_id"), F.col("label").alias("text"), "pos")
         found = found.union(Found(entities.shaped(made, kind), spoken))
-        known = known.unionByName(of.select(F.col("id").alias("profile_id")).join(groups, F.col("profile_id") == F.col("id")).select("profile_id", F.concat(F.lit(f"{kind}:profile:"), "root").alias("entity_id")))
+        known = known.unionByName(profiles.entity_of(of, groups, kind))
     local = profiles.conversation_profiles(told).join(known, "profile_id").select("conversation_id", "local_entity", "entity_id")
     queue = review.join(held.select(F.col("id").alias("first"), "type"), F.col("member_ids")[0] == F.col("first")).select("member_ids", "canonical_name", "confidence", "evidence", "type")
     named = merges.join(known.select(F.col("profile_id").alias("canonical_id"), "entity_id"), "canonical_id").select(F.col("entity_id").alias("canonical_id"), "merged_forms", "rationale")

@@ -310,6 +310,13 @@ def group_entities(spark: SparkSession, sf: str) -> DataFrame:
     return profiles.entities_of(held, groups).select("root", "label", _joined("aliases"), F.size("item_ids").cast("long").alias("items"))
 
 
+@query(f"WITH {RESOLVED} SELECT id AS profile_id, 'org:profile:' || id AS entity_id FROM pr WHERE g % 5 = 2 AND key % 4 = 1")
+def profile_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """The entity that an organisation's profile stands for."""
+    held, groups, _ = _rolled(spark, sf)
+    return profiles.entity_of(held, groups, "org")
+
+
 def _persons(spark: SparkSession, sf: str) -> Found:
     """Persons of customers; every third has no address, and one is the owner."""
     c = table(spark, sf, "customer")

@@ -101,6 +101,29 @@ def chat_items(files: DataFrame) -> DataFrame:
     )
 
 
+def mailbox_messages(spark: SparkSession, path: str) -> DataFrame:
+    """S10 for mailboxes of any size: the messages of the mailboxes under a path as items. The text source splits a mailbox at its From
+    lines, so its messages are read by as many tasks as it has splits; a message is parsed by itself, and its number follows from the
+    place of its split in the file. From lines must follow a blank line that ends in a single line feed."""
+    lines = spark.read.option("lineSep", "\n\nFrom ").option("recursiveFileLookup", "true").text(path)
+    placed = lines.select("value", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    counted = ranked(placed, ["name", "block", "row"], "n")
+    first = counted.groupBy("name").agg(F.min("n").alias("first"))
+    numbered = counted.join(first, "name").select("name", (F.col("n") - F.col("first")).cast("int").alias("k"), "value")
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for name, k, value in zip(frame.name, frame.k, frame.value, strict=True):
+                text = value if k == 0 else f"From {value}"
+                for item in formats.mailbox(name, text.encode("utf-8", "surrogateescape")):
+                    shown = {"id": f"{formats.stem(name)}#{k + 1}", "provenance": item["provenance"] | {"item_index": k + 1}}
+                    rows.append({"name": name, "error": None, "k": k} | item | shown)
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ("name", "error", "k")] + _COLUMNS)
+
+    return _finished(materialise(numbered.mapInPandas(parse, _PARSED), "messages").drop("error"))
+
+
 def report_totals(report: DataFrame) -> DataFrame:
     """A32."""
     return report.agg(

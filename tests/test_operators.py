@@ -170,6 +170,20 @@ def test_whole_contract_leaves_out_no_row(spark):
     assert found.select("rule").distinct().count() == 11
 
 
+def test_nulls_breach_the_contract(spark):
+    found = people(spark, [person("p1", "A"), person("p2", "B")])
+    rows = [("e1", "p1", "p2", None, ["i0"]), ("e2", "p1", None, "paid", ["i0"]), ("e3", "p1", "p2", "paid", None), ("e4", "p2", "p1", "paid", ["i0"])]
+    edges = spark.createDataFrame(rows, "id string, source string, target string, kind string, evidence_item_ids array<string>").withColumn("weight", F.lit(1.0))
+    bad = found.entities.withColumn("type", F.when(F.col("id") == "p1", F.col("type")))
+    items = spark.createDataFrame([("i0",), ("i1",)], "id string")
+    none = spark.createDataFrame([], "canonical_id string, merged_forms array<string>, rationale string")
+    g = contract.Graph(items, bad, found.mentions, edges, none)
+    got = {(r.rule, r.id) for r in contract.violations(g).collect()}
+    assert got == {("R2_invalid_type", "p2"), ("R7_invalid_kind", "e1"), ("R6_dangling_target", "e2"), ("R8_no_evidence", "e3")}
+    fixed, actions = contract.repair(g)
+    assert [r.id for r in fixed.edges.collect()] == ["e4"] and {r.id for r in actions.collect()} == {"e1", "e2", "e3"}
+
+
 def test_contract_rules_and_repair(spark):
     found = people(spark, [person("p1", "A", owner=True), person("p1", "A"), person("p2", "", owner=True), person("p3", "x" * 130), person("p4", "D")])
     told = found.mentions.where("entity_id <> 'p4'").unionByName(spark.createDataFrame([("p3", "gone", "t", 9)], "entity_id string, item_id string, text string, pos long"))
