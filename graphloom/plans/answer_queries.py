@@ -381,3 +381,34 @@ def job_replay(spark: SparkSession, sf: str) -> DataFrame:
 def job_log(spark: SparkSession, sf: str) -> DataFrame:
     """Each job's events in order, and its last state."""
     return limits.job_log(table(spark, sf, "events").withColumnRenamed("user_id", "job_id")).select("job_id", "event_id", "n", "is_last")
+
+
+@query(
+    """WITH s AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM s),
+x AS (SELECT user_id, max(ts) + INTERVAL 30 MINUTE AS expires FROM g GROUP BY user_id, n), m AS (SELECT max(ts) - INTERVAL 1 DAY AS now FROM events) SELECT user_id, expires FROM x, m WHERE expires > now ORDER BY expires DESC LIMIT 10"""
+)
+def kept_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten most recently used sessions that have not ended a day before the last event."""
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    now = e.agg((F.max("ts") - F.expr("INTERVAL 1 DAY")).cast("string").alias("now")).first().now
+    return limits.kept_sessions(limits.live_sessions(e, "user_id"), now).select("user_id", F.col("expires").cast("timestamp_ntz").alias("expires"))
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) = 1 AS allowed FROM events")
+def hourly_limit(spark: SparkSession, sf: str) -> DataFrame:
+    """One build a session and hour."""
+    return limits.one_per(table(spark, sf, "events"), "user_id", "ts", "hour", "event_id").select("event_id", "allowed")
+
+
+@query("SELECT date_trunc('minute', ts) AS start, user_id, count(*) AS calls FROM events GROUP BY 1, 2")
+def calls_per_minute(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls of each key in each minute, as the streaming form counts them."""
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return limits.calls_per_minute(e, "user_id").select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "calls")
+
+
+@query("SELECT * FROM (VALUES ('query', 'money'), ('query', 'timeline'), ('query', 'who'), ('mode', 'heuristic'), ('mode', 'llm'), ('currency', 'USD'), ('currency', 'EUR'), ('currency', 'GBP'), ('currency', 'INR'), ('currency', 'KRW'), ('currency', 'JPY'), ('currency', 'NOK'), ('currency', 'CAD'), ('currency', 'AUD'), ('currency', 'CHF')) v(kind, name)")
+def capabilities(spark: SparkSession, sf: str) -> DataFrame:
+    """What can be asked for."""
+    can = views.capabilities()
+    return spark.createDataFrame([("query", q["id"]) for q in can["queries"]] + [("mode", m) for m in can["modes"]] + [("currency", c) for c in can["currencies"]], "kind string, name string")

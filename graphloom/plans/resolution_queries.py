@@ -399,3 +399,20 @@ def build_stats(spark: SparkSession, sf: str) -> DataFrame:
     kept = {k: s[k] for k in ("items", "canonical_items", "relevant_items", "exact_dupes", "near_dupes", "n_duplicates", "people", "review_queue")}
     row = spark.range(1).select(*[F.lit(v).cast("long").alias(k) for k, v in kept.items()], F.lit(s["mode"]).alias("mode"), F.lit(s["owner"] is not None).alias("has_owner"))
     return row
+
+
+@query("""WITH b AS (SELECT c_custkey // 4 AS g, '{"profiles": [' || string_agg('{"id":"c' || c_custkey || '"}', ', ' ORDER BY '{"id":"c' || c_custkey || '"}') || ']}' AS full_text FROM customer GROUP BY 1 HAVING count(*) > 1) SELECT 'b' || g AS block, full_text, left(sha256('modelv2' || full_text), 20) AS key FROM b""")
+def resolution_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """What is asked about a block, and the key under which the answer is kept; profiles in a fixed order."""
+    c, key = table(spark, sf, "customer"), F.col("c_custkey")
+    shown = c.select(_of("c", key).alias("id"), F.to_json(F.struct(_of("c", key).alias("id"))).alias("json"))
+    return extraction.block_prompts(shown, c.select(_of("b", F.floor(key / 4)).alias("block"), _of("c", key).alias("id")), "model", "v2").select("block", "full_text", "key")
+
+
+@query("SELECT 'b' || (c_custkey // 4) AS block, 'c' || c_custkey AS subject_id, 'c' || (c_custkey + 1) AS object_id, CASE WHEN c_custkey % 3 = 0 THEN 'related' ELSE 'knows' END AS type, '' AS evidence FROM customer WHERE c_custkey % 4 < 3 AND c_custkey + 1 IN (SELECT c_custkey FROM customer)")
+def derived_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """Relations that a client derives, if both ends are in the block."""
+    c, key = table(spark, sf, "customer"), F.col("c_custkey")
+    block = _of("b", F.floor(key / 4)).alias("block")
+    asked = c.select(block, _of("c", key).alias("subject_id"), _of("c", key + 1).alias("object_id"), F.when(key % 3 != 0, "knows").alias("type"), F.lit(None).cast("string").alias("evidence"))
+    return profiles.derived_relations(asked, c.select(block, _of("c", key).alias("id")))
