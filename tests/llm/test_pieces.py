@@ -1,6 +1,9 @@
+import math
+
 import numpy as np
 import public_tokenizers
 import sentencepiece
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -89,3 +92,50 @@ def test_trees_give_what_the_heap_gives(monkeypatch):
         monkeypatch.setattr(pieces, "_TREE", -1)
         assert coded == heap == [pieces.Encoder(MODEL, 7, dropout).encode([k], [t])[0] for k, t in enumerate(texts)]
         monkeypatch.setattr(pieces, "_TREE", 24)
+
+
+M1, M2, M3, TOP = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, (1 << 64) - 1
+VOCABULARY = {LIBRARY.id_to_piece(k): (LIBRARY.get_score(k), k) for k in range(LIBRARY.get_piece_size()) if not (LIBRARY.is_byte(k) or LIBRARY.is_control(k) or LIBRARY.is_unknown(k) or LIBRARY.is_unused(k))}
+
+
+def plain(text, seed, doc_id, dropout):
+    """Merge-dropout as the module states it: all pairs are looked at before every merge."""
+    chunks, before = [], ""
+    for c in " " + text if text else "":
+        if not chunks or c == "\n" or c == " " and before != " ":
+            chunks.append("")
+        chunks[-1] += c
+        before = c
+    document = xxhash.xxh64_intdigest(text, xxhash.xxh64_intdigest(f"{seed}:{doc_id}"))
+    ids = []
+    for n, chunk in enumerate(chunks, 1):
+        key = n * M1 + document & TOP
+        key = (key ^ key >> 30) * M2 & TOP
+        key = (key ^ key >> 27) * M3 & TOP
+        key ^= key >> 31
+        spelled = [("▁" if c == " " else None if c == "▁" else c, k, k + 1, c) for k, c in enumerate(chunk)]
+        symbols = [(p if p in VOCABULARY else None, a, b, c) for p, a, b, c in spelled]
+        while True:
+            able = []
+            for i, ((p, a, m, _), (q, _, b, _)) in enumerate(zip(symbols, symbols[1:])):
+                h = ((a << 42 | m << 21 | b) * M1 & TOP ^ key) * M2 & TOP
+                h = (h ^ h >> 31) * M3 & TOP
+                if p and q and p + q in VOCABULARY and h >> 11 >= math.ceil(dropout * 2**53):
+                    able.append((-VOCABULARY[p + q][0], i))
+            if not able:
+                break
+            i = min(able)[1]
+            symbols[i : i + 2] = [(symbols[i][0] + symbols[i + 1][0], symbols[i][1], symbols[i + 1][2], "")]
+        for p, _, _, c in symbols:
+            ids += [VOCABULARY[p][1]] if p else [LIBRARY.piece_to_id(f"<0x{b:02X}>") for b in c.encode()]
+    return ids
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.one_of(texts, st.text(max_size=20), st.just("▁ ▁a")), st.sampled_from([0.0, 0.1, 0.5, 0.9]), st.integers(0, 9))
+def test_dropout_matches_a_plain_agenda(text, dropout, seed):
+    assert encoded(text, seed, dropout) == plain(text, seed, 5, dropout)
+    again = pieces.Encoder(MODEL, seed, dropout)
+    for _ in range(3):  # the third time words come from the trees
+        coded = again.encode([5] * 9, [text] * 9)
+    assert np.frombuffer(coded[4], "<u4").tolist() == plain(text, seed, 5, dropout)
