@@ -33,7 +33,18 @@ deg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM ed UNION AL
 cnt AS (SELECT entity_id AS id, count(*) AS n FROM me GROUP BY 1)"""
 
 
+_BUNDLES: dict[tuple[str, str], Bundle] = {}
+
+
 def _bundle(spark: SparkSession, sf: str) -> Bundle:
+    """The bundle that the views are asked of: written once in a session, as bundles are, and read by every query."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BUNDLES:
+        _BUNDLES[key] = _made(spark, sf)
+    return _BUNDLES[key]
+
+
+def _made(spark: SparkSession, sf: str) -> Bundle:
     e = table(spark, sf, "events")
     user, pos = F.col("user_id").cast("string"), F.col("event_id")
     item = pos.cast("string")
@@ -77,8 +88,8 @@ def _bundle(spark: SparkSession, sf: str) -> Bundle:
     copies = items.where("duplicate_of is not null").select("id", F.col("duplicate_of").alias("canonical_id"))
     none = spark.createDataFrame([], REVIEW)
     return Bundle(
-        items, copies, materialise(found, "b-entities"), materialise(mentions, "b-mentions"), materialise(relations.numbered(edges), "b-edges"), merges, spark.createDataFrame([], "entity_id string, person_id string"),
-        materialise(relevance, "b-relevance"), spans, none, none,
+        materialise(items, "b-items"), materialise(copies, "b-copies"), materialise(found, "b-entities"), materialise(mentions, "b-mentions"), materialise(relations.numbered(edges), "b-edges"), materialise(merges, "b-merges"), spark.createDataFrame([], "entity_id string, person_id string"),
+        materialise(relevance, "b-relevance"), materialise(spans, "b-timeline"), none, none,
     )
 
 

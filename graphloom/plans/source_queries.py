@@ -183,6 +183,35 @@ def page_reader(spark: SparkSession, sf: str) -> DataFrame:
     return readers.document_pages(pages).select("id", "source_type", "conversation_id", "timestamp_raw", _when())
 
 
+class _FormFeeds:
+    """A page service for the queries: pages are cut at form feeds; a job is done the second time it is asked for."""
+
+    def __init__(self) -> None:
+        self.asked: dict[str, int] = {}
+
+    def start(self, name: str, content: bytes) -> str:
+        if content.startswith(b"broken"):
+            raise ValueError("no document")
+        return content.decode()
+
+    def pages(self, job: str) -> list[str] | None:
+        self.asked[job] = self.asked.get(job, 0) + 1
+        return job.split("\f") if self.asked[job] > 1 else None
+
+
+@query(
+    """WITH p AS (SELECT s_nationkey AS n, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS page FROM supplier)
+SELECT 'd' || n || '#p' || page AS id, 'page of ' || s_suppkey AS body, NULL AS error FROM p WHERE n % 5 <> 3 UNION ALL SELECT DISTINCT 'd' || n, NULL, 'ValueError: no document' FROM p WHERE n % 5 = 3"""
+)
+def pdf_reader(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents through a page service that is asked until it is done, and those that it cannot read."""
+    rows = table(spark, sf, "supplier")
+    text = F.when(F.col("s_nationkey") % 5 == 3, "broken").otherwise(_text("page of {s_suppkey} "))
+    pages, errors = readers.extracted_pages(_joined(rows, _text("d{s_nationkey}.pdf"), "s_suppkey", text, "\f"), _FormFeeds, seconds=0.0)
+    none = F.lit(None).cast("string")
+    return readers.document_pages(pages).select("id", "body", none.alias("error")).unionAll(errors.select(F.regexp_replace("file", "\\.pdf$", ""), none, "error"))
+
+
 @query(MAILS.format(id="'c' || c_custkey || '#1'", body="'segment ' || c_mktsegment"))
 def raw_replay(spark: SparkSession, sf: str) -> DataFrame:
     """Raw files kept in a folder and read from it again."""

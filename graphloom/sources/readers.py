@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -132,6 +134,50 @@ def report_totals(report: DataFrame) -> DataFrame:
     )
 
 
+class PageService(Protocol):
+    """What turns a document into the text of its pages: a job is started, and asked for until it is done. The library ships no vendor's."""
+
+    def start(self, name: str, content: bytes) -> str: ...
+
+    def pages(self, job: str) -> list[str] | None:
+        """The text of each page, or None while the job is running."""
+
+
+def extracted_pages(files: DataFrame, service: Callable[[], PageService], most_polls: int = 90, seconds: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> tuple[DataFrame, DataFrame]:
+    """(file, page, text) of documents (name, content), pages from 1, and (file, error) of those that the service failed on or did not
+    finish. A task has one client; all jobs of a batch are started before the first is asked for, so they run side by side. Answers are
+    written, so no document is sent twice."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = service()
+        for frame in frames:
+            rows: list[tuple[str, int, str | None, str | None]] = []
+            open_: dict[str, str] = {}
+            for name, content in zip(frame.name, frame.content, strict=True):
+                try:
+                    open_[name] = client.start(name, bytes(content))
+                except Exception as e:  # noqa: BLE001  one document's trouble is its own
+                    rows.append((name, 0, None, f"{type(e).__name__}: {e}"))
+            for poll in range(most_polls):
+                for name, job in list(open_.items()):
+                    try:
+                        found = client.pages(job)
+                    except Exception as e:  # noqa: BLE001
+                        found, _ = [], rows.append((name, 0, None, f"{type(e).__name__}: {e}"))
+                    if found is not None:
+                        rows += [(name, k, text, None) for k, text in enumerate(found, 1)]
+                        del open_[name]
+                if not open_:
+                    break
+                if poll + 1 < most_polls:
+                    sleep(seconds)
+            rows += [(name, 0, None, f"not done after {most_polls} polls") for name in open_]
+            yield pd.DataFrame(rows, columns=["file", "page", "text", "error"])
+
+    told = materialise(files.select("name", "content").mapInPandas(run, "file string, page int, text string, error string"), "pages")
+    return told.where("error is null").drop("error"), told.where("error is not null").select("file", "error")
+
+
 def document_pages(pages: DataFrame) -> DataFrame:
     """Items of extracted document pages (file, page, text): one per page with text, all dated by the earliest date
     in the document. Extraction itself is an outside service."""
