@@ -17,7 +17,7 @@ Decoding joins the pieces' bytes and takes the dummy space off. It gives back ev
 a piece are spelled in bytes, and so is a literal U+2581, which the library would turn into a space.
 
 Nulls and odd rows: a null text is encoded as an empty one, to no ids. A null doc_id counts as 0 in the hash.
-A document's id and text are hashed, so repeated rows are encoded each, alike. Extra columns are ignored; an empty table gives no rows.
+A document's id and text are hashed, so repeated rows are encoded each, alike. A very long text is encoded whole, alone in its slice. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
