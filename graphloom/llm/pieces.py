@@ -208,27 +208,39 @@ class Model:
         owner = np.repeat(np.arange(len(chunks)), sizes)
         start = np.arange(len(symbol)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         end = start + 1
+        # what each symbol merges to with the next one, -1 for nothing; asked again only beside a merge
+        to = np.full(len(symbol), -1, np.int64)
+
+        def offer(at: np.ndarray) -> None:
+            at = at[owner[at] == owner[at + 1]]
+            found = self.pair(symbol[at], symbol[at + 1])
+            at, found = at[found >= 0], found[found >= 0]
+            good = ~dropped(keys[owner[at]], start[at], start[at + 1], end[at + 1], dropout)
+            to[at[good]] = found[good]
+
+        offer(np.arange(len(symbol) - 1))
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbol):
-            pair = np.flatnonzero(owner[1:] == owner[:-1])
-            to = self.pair(symbol[pair], symbol[pair + 1])
-            able = to >= 0
-            able[able] = ~dropped(keys[owner[pair[able]]], start[pair[able]], start[pair[able] + 1], end[pair[able] + 1], dropout)
-            pair, to = pair[able], to[able]
+            able = np.flatnonzero(to >= 0)
             # the best candidate of each chunk: by rank, then from the left
-            cost = self.rank[to] << 32 | np.arange(len(pair))
-            of = owner[pair]
+            cost = self.rank[to[able]] << 32 | np.arange(len(able))
+            of = owner[able]
             first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.empty(0, np.int64)
             best = np.minimum.reduceat(cost, first) & 0xFFFFFFFF if len(first) else first
             busy = np.zeros(len(chunks), bool)
             busy[of] = True
             idle = ~busy[owner]
             done.append((owner[idle], symbol[idle]))
-            left = pair[best]
-            symbol[left], end[left] = to[best], end[left + 1]
+            left = able[best]
+            symbol[left], end[left] = to[left], end[left + 1]
+            to[left] = to[np.maximum(left - 1, 0)] = -1
             keep = ~idle
             keep[left + 1] = False
-            symbol, owner, start, end = symbol[keep], owner[keep], start[keep], end[keep]
+            place = np.cumsum(keep) - 1
+            symbol, owner, start, end, to = symbol[keep], owner[keep], start[keep], end[keep], to[keep]
+            at = place[left]
+            beside = np.concatenate([at, at - 1])
+            offer(beside[(beside >= 0) & (beside + 1 < len(symbol))])
         owner, symbol = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.empty(0, np.int64),) * 2
         order = np.argsort(owner, kind="stable")
         owner, symbol = owner[order], symbol[order]
