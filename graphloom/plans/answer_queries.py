@@ -380,11 +380,15 @@ def kept_jobs(spark: SparkSession, sf: str) -> DataFrame:
     return limits.kept_jobs(e, str(e.agg(F.max("ts")).first()[0]), seconds=864_000)
 
 
-@query("SELECT user_id AS job_id, event_id, event_id >= 500 AS live, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_id < 500 OR ts > (SELECT max(k.ts) FROM events k WHERE k.user_id = events.user_id AND k.event_id < 500) IS NOT FALSE")
+@query(
+    """WITH h AS (SELECT max(event_id) // 2 AS half FROM events), k AS (SELECT user_id, max(ts) AS last FROM events, h WHERE event_id < half GROUP BY 1)
+SELECT e.user_id AS job_id, event_id, event_id >= half AS live, row_number() OVER (PARTITION BY e.user_id ORDER BY ts, event_id) AS n FROM h, events e LEFT JOIN k ON k.user_id = e.user_id WHERE event_id < half OR last IS NULL OR ts > last"""
+)
 def job_replay(spark: SparkSession, sf: str) -> DataFrame:
-    """Kept events first, then the live ones that are newer."""
+    """Kept events first, the first half, then the live ones that are newer; the logs overlap by a quarter of all events."""
     e = table(spark, sf, "events").withColumnRenamed("user_id", "job_id")
-    found = limits.replay_then_live(e.where("event_id < 500"), e.where("event_id >= 400"))
+    half = e.agg(F.max("event_id")).first()[0] // 2
+    found = limits.replay_then_live(e.where(F.col("event_id") < half), e.where(F.col("event_id") >= half // 2))
     return found.select("job_id", "event_id", "live", "n")
 
 

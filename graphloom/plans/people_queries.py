@@ -118,12 +118,12 @@ def participant_people(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT event_id, 'User ' || user_id AS name, event_type || '-' || (event_id % 13) AS conv FROM events WHERE user_id % 11 = 0),
+    """WITH c AS (SELECT event_id, 'User ' || user_id AS name, event_type || '-' || (event_id % 13) AS conv FROM events),
 best AS (SELECT name FROM c GROUP BY 1 HAVING count(DISTINCT conv) >= 2 ORDER BY count(DISTINCT conv) DESC, min(event_id) LIMIT 1) SELECT event_id::VARCHAR AS item_id, 0 AS p_index FROM c JOIN best USING (name)"""
 )
 def chat_owner(spark: SparkSession, sf: str) -> DataFrame:
     """The sender in most chats."""
-    e = table(spark, sf, "events").where("user_id % 11 = 0")
+    e = table(spark, sf, "events")
     items = e.select(
         F.col("event_id").cast("string").alias("id"), F.col("event_id").alias("pos"), F.lit("whatsapp").alias("source_type"), F.concat_ws("-", "event_type", (F.col("event_id") % 13).cast("string")).alias("conversation_id"),
         F.array(participant("sender", F.concat(F.lit(" User "), F.col("user_id").cast("string")))).alias("participants"),
@@ -168,14 +168,13 @@ def document_entities(spark: SparkSession, sf: str) -> DataFrame:
     return found.entities.select("id", "label").join(found.mentions.select(F.col("entity_id").alias("id"), "item_id"), "id")
 
 
-@query("SELECT round(o_totalprice, 2)::DECIMAL(18,2) AS amount, CASE o_custkey % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'INR' END AS currency, o_custkey % 3 = 2 AS needs_review FROM (SELECT o_totalprice, any_value(o_custkey) AS o_custkey FROM orders WHERE round(o_totalprice, 2) > 0 GROUP BY 1 HAVING count(*) = 1 AND count(*) FILTER (o_totalprice <> round(o_totalprice, 2)) = 0)")
+@query("WITH a AS (SELECT DISTINCT round(o_totalprice, 2)::DECIMAL(18,2) AS amount FROM orders WHERE round(o_totalprice, 2) > 0) SELECT amount, CASE (amount * 100)::BIGINT % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'INR' END AS currency, (amount * 100)::BIGINT % 3 = 2 AS needs_review FROM a")
 def claimed_amounts(spark: SparkSession, sf: str) -> DataFrame:
     """Amounts that a client found; the currency is read from the words it quotes."""
-    one = table(spark, sf, "orders").where("round(o_totalprice, 2) > 0").groupBy("o_totalprice").agg(F.count("*").alias("n"), F.first("o_custkey").alias("o_custkey"), F.first("o_orderkey").alias("pos")).where("n = 1 and o_totalprice = round(o_totalprice, 2)")
-    amount = F.round("o_totalprice", 2).cast("decimal(18,2)").alias("amount")
-    held = one.select(amount, F.col("pos").cast("string").alias("item_id"), "pos", F.lit("no sign here").alias("body"))
-    word = F.element_at(F.array(F.lit(" euros"), F.lit(" Rs"), F.lit("")), (F.col("o_custkey") % 3 + 1).cast("int"))
-    surfaces = one.select(amount, F.concat(F.format_number("o_totalprice", 2), word).alias("surface"))
+    amount = F.round("o_totalprice", 2).cast("decimal(18,2)")
+    held = table(spark, sf, "orders").select(amount.alias("amount"), F.col("o_orderkey").cast("string").alias("item_id"), F.col("o_orderkey").alias("pos"), F.lit("no sign here").alias("body")).where("amount > 0")
+    word = F.element_at(F.array(F.lit(" euros"), F.lit(" Rs"), F.lit("")), ((F.col("amount") * 100).cast("long") % 3 + 1).cast("int"))
+    surfaces = held.select("amount").distinct().select("amount", F.concat(F.format_number("amount", 2), word).alias("surface"))
     return entities.money(held, surfaces).entities.select("amount", "currency", "needs_review")
 
 
