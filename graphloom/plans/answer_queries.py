@@ -24,9 +24,9 @@ person AS (SELECT 'u' || user_id AS id, 0 AS place, user_id AS pos, 'person' AS
 money AS (SELECT 'm' || k AS id, 3 AS place, -k AS pos, 'money' AS type, 'Amount ' || k AS label, (k * 10 + 0.25)::DECIMAL(18,2) AS amount, CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN 'EUR' ELSE 'USD' END AS currency, k % 4 = 3 AS ambiguous FROM range(20) r(k)),
 org AS (SELECT DISTINCT 'o' || event_type AS id, 1 AS place, 0 AS pos, 'org' AS type, upper(event_type) AS label FROM events),
 en AS (SELECT id, place, pos, type, label FROM person UNION ALL SELECT id, place, pos, type, label FROM money UNION ALL SELECT id, place, pos, type, label FROM org),
-me AS (SELECT 'u' || user_id AS entity_id, id AS item_id, pos FROM it UNION ALL SELECT 'm' || (user_id % 20), id, pos FROM it WHERE source_type = 'purchase' UNION ALL SELECT 'o' || source_type, id, pos FROM it WHERE pos % 3 = 0),
+me AS (SELECT 'u' || user_id AS entity_id, id AS item_id, pos FROM it UNION ALL SELECT 'm' || (user_id % 20), id, pos FROM it WHERE source_type = 'purchase' UNION ALL SELECT 'o' || source_type, id, pos FROM it WHERE value >= 20),
 raw AS (SELECT 'u' || least(a.user_id, b.user_id) AS source, 'u' || greatest(a.user_id, b.user_id) AS target, 'corresponded_with' AS kind, a.id AS item FROM it a JOIN us b ON b.user_id = a.user_id + 1 + a.pos % 2
-        UNION SELECT 'u' || user_id, 'o' || source_type, 'affiliated_with', id FROM it WHERE pos % 5 = 0 UNION SELECT 'u' || user_id, 'm' || (user_id % 20), 'paid', id FROM it WHERE source_type = 'purchase' AND pos % 2 = 0
+        UNION SELECT 'u' || user_id, 'o' || source_type, 'affiliated_with', id FROM it WHERE value >= 50 UNION SELECT 'u' || user_id, 'm' || (user_id % 20), 'paid', id FROM it WHERE source_type = 'purchase' AND value < 40
         UNION SELECT 'm' || (user_id % 20), 'o' || source_type, 'paid_to', id FROM it WHERE source_type = 'purchase'),
 ed AS (SELECT 'e:' || left(sha1(source || '|' || target || '|' || kind), 10) AS id, source, target, kind, count(*)::DOUBLE AS weight, list_sort(list(item))[1:20] AS evidence FROM raw GROUP BY source, target, kind),
 deg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM ed UNION ALL SELECT target FROM ed) GROUP BY 1),
@@ -71,16 +71,16 @@ def _made(spark: SparkSession, sf: str) -> Bundle:
     found = entities.shaped(persons, "person").unionByName(entities.shaped(money, "money")).unionByName(entities.shaped(orgs, "org"))
     told = lambda rows, entity: rows.select(entity.alias("entity_id"), item.alias("item_id"), F.lit("said").alias("text"), pos.alias("pos"))
     paid, amount = e.where("event_type = 'purchase'"), of("m", F.col("user_id") % 20)
-    mentions = told(e, of("u", F.col("user_id"))).unionAll(told(paid, amount)).unionAll(told(e.where("event_id % 3 = 0"), F.concat(F.lit("o"), "event_type")))
+    mentions = told(e, of("u", F.col("user_id"))).unionAll(told(paid, amount)).unionAll(told(e.where("value >= 20"), F.concat(F.lit("o"), "event_type")))
     tie = lambda rows, source, target, kind: relations.weighed(rows.select(source.alias("source"), target.alias("target"), item.alias("item_id")), kind)
     other = e.withColumn("other", F.col("user_id") + 1 + F.col("event_id") % 2).join(users.select(F.col("user_id").alias("other")), "other", "left_semi")
     edges = (
         tie(other, of("u", F.least("user_id", "other")), of("u", F.greatest("user_id", "other")), "corresponded_with")
-        .unionByName(tie(e.where("event_id % 5 = 0"), of("u", F.col("user_id")), F.concat(F.lit("o"), "event_type"), "affiliated_with"))
-        .unionByName(tie(paid.where("event_id % 2 = 0"), of("u", F.col("user_id")), amount, "paid"))
+        .unionByName(tie(e.where("value >= 50"), of("u", F.col("user_id")), F.concat(F.lit("o"), "event_type"), "affiliated_with"))
+        .unionByName(tie(paid.where("value < 40"), of("u", F.col("user_id")), amount, "paid"))
         .unionByName(tie(paid, amount, F.concat(F.lit("o"), "event_type"), "paid_to"))
     )
-    topics = items.where("pos % 4 = 0").select(F.col("id").alias("item_id"), F.array(F.concat(F.lit("About "), "source_type")).alias("topics"))
+    topics = e.where("value >= 30").select(item.alias("item_id"), F.array(F.concat(F.lit("About "), "event_type")).alias("topics"))
     canonical = items.where("duplicate_of is null")
     relevance = extraction.relevance(canonical, topics)
     merges = persons.select(F.col("id").alias("canonical_id"), F.when(F.col("pos") % 3 == 0, F.array("label", "id")).otherwise(F.array("label")).alias("merged_forms"), F.lit("same").alias("rationale"))
@@ -131,7 +131,7 @@ def who_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 EPISODES = f"""{BUNDLE},
-tt AS (SELECT 'About ' || source_type AS label, id, pos, ts FROM it WHERE pos % 4 = 0 AND dup IS NULL),
+tt AS (SELECT 'About ' || source_type AS label, id, pos, ts FROM it WHERE value >= 30 AND dup IS NULL),
 late AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY label ORDER BY ts, pos)) >= 86400000000 THEN 1 ELSE 0 END AS late FROM tt),
 ses AS (SELECT *, sum(late) OVER (PARTITION BY label ORDER BY ts, pos ROWS UNBOUNDED PRECEDING) AS session FROM late)"""
 
@@ -153,7 +153,7 @@ def timeline_scale(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {BUNDLE}, v AS (SELECT id, CASE WHEN pos % 4 = 0 THEN 'About ' || source_type ELSE 'no topics assigned' END AS rationale FROM it WHERE dup IS NULL)
+    f"""WITH {BUNDLE}, v AS (SELECT id, CASE WHEN value >= 30 THEN 'About ' || source_type ELSE 'no topics assigned' END AS rationale FROM it WHERE dup IS NULL)
 SELECT it.id, v.rationale FROM it JOIN v ON v.id = coalesce(dup, it.id)"""
 )
 def verdict_inheritance(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,7 +162,7 @@ def verdict_inheritance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {BUNDLE}, f AS (SELECT * FROM it WHERE source_type = 'view' AND contains(lower(subject), 'of 1')), v AS (SELECT id, CASE WHEN pos % 4 = 0 THEN 'About ' || source_type ELSE 'no topics assigned' END AS rationale FROM it WHERE dup IS NULL)
+    f"""WITH {BUNDLE}, f AS (SELECT * FROM it WHERE source_type = 'view' AND contains(lower(subject), 'of 1')), v AS (SELECT id, CASE WHEN value >= 30 THEN 'About ' || source_type ELSE 'no topics assigned' END AS rationale FROM it WHERE dup IS NULL)
 SELECT f.id, subject, 'User ' || user_id AS sender, left(body, 140) AS preview, dup AS duplicate_of, v.rationale AS relevance_rationale, (SELECT count(*) FROM f) AS total FROM f JOIN v ON v.id = coalesce(dup, f.id) ORDER BY pos LIMIT 100 OFFSET 5"""
 )
 def items_page(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,11 +171,12 @@ def items_page(spark: SparkSession, sf: str) -> DataFrame:
     return page.select("id", "subject", "sender", "preview", "duplicate_of", "relevance_rationale", F.lit(total).cast("long").alias("total"))
 
 
-@query(f"WITH {BUNDLE}, x AS (SELECT id FROM it WHERE source_type = 'purchase' AND pos % 3 = 0 ORDER BY pos LIMIT 1) SELECT me.item_id, e.id, e.label, e.type, it.subject FROM me JOIN x ON x.id = item_id JOIN en e ON e.id = entity_id JOIN it ON it.id = item_id")
+@query(f"WITH {BUNDLE}, x AS (SELECT id FROM it WHERE source_type = 'purchase' AND value >= 20 ORDER BY pos LIMIT 1) SELECT me.item_id, e.id, e.label, e.type, it.subject FROM me JOIN x ON x.id = item_id JOIN en e ON e.id = entity_id JOIN it ON it.id = item_id")
 def item_detail(spark: SparkSession, sf: str) -> DataFrame:
     """An item and the entities that it mentions."""
     b = _bundle(spark, sf)
-    chosen = b.items.where("source_type = 'purchase' and pos % 3 = 0").orderBy("pos").first().id
+    told = table(spark, sf, "events").where("value >= 20").select(F.col("event_id").cast("string").alias("id"))
+    chosen = b.items.where("source_type = 'purchase'").join(told, "id", "left_semi").orderBy("pos").first().id
     row, named = views.item(b, chosen)
     return named.join(F.broadcast(row.select(F.col("id").alias("item_id"), "subject")), F.lit(True)).select("item_id", "id", "label", "type", "subject")
 
@@ -349,7 +350,7 @@ def references_renamed(spark: SparkSession, sf: str) -> DataFrame:
     return edges.select("id", "source", F.array_join("evidence_item_ids", "|").alias("evidence"))
 
 
-@query(f"WITH {BUNDLE} SELECT source, target, kind, CASE kind WHEN 'paid_to' THEN 1.0 ELSE weight END::DOUBLE AS weight FROM ed WHERE kind IN ('paid_to') UNION ALL SELECT 'u' || user_id, 'o' || source_type, 'affiliated_with', 1.0 FROM (SELECT DISTINCT user_id, source_type FROM it WHERE pos % 5 = 0)")
+@query(f"WITH {BUNDLE} SELECT source, target, kind, CASE kind WHEN 'paid_to' THEN 1.0 ELSE weight END::DOUBLE AS weight FROM ed WHERE kind IN ('paid_to') UNION ALL SELECT 'u' || user_id, 'o' || source_type, 'affiliated_with', 1.0 FROM (SELECT DISTINCT user_id, source_type FROM it WHERE value >= 50)")
 def structural_edges(spark: SparkSession, sf: str) -> DataFrame:
     """The structural relations of a bundle, in one table: members of organisations, and the organisation of each amount."""
     b = _bundle(spark, sf)
